@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -32,11 +33,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siteloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Spark deletes the shuffle files of what runs inside as soon as it has ended, instead of at some later garbage collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it again, which cuts the lineage."""
+    """Writes a table into the shared folder and reads it again, which cuts the lineage and frees its shuffle files."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # for drop()
     return out
@@ -64,7 +78,7 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 # ---------------------------------------------------------------- texts in Arrow batches
 
 
-def slices(batches, max_bytes: int = 32 << 20, text: str = "text"):
+def slices(batches, max_bytes: int = 8 << 20, text: str = "text"):
     """Arrow batches cut into slices whose texts come to about max_bytes, so that memory does not follow the batch size."""
     for batch in batches:
         n = batch.num_rows
