@@ -4,10 +4,10 @@ Positions of a document are taken modulo 7, and anchors of 7 words are hashed at
 residues have every difference modulo 7, so wherever two documents share 13 words, some offset below 7 is an anchor
 position in both, and the anchor lies within the 13 words. Three passes:
 
-1. Anchors are counted (pre-aggregated in each slice); those seen twice set bits of a bitmap of fixed size.
+1. Anchors are counted (pre-aggregated in each slice); those seen twice set bits of a Bloom filter of fixed size.
 2. A window of 13 words that holds such an anchor is a candidate. Its hash is extended to all 13 words, and the smallest
-   doc_id of each window hash is found. The bitmap only prunes: a false hit costs a row and changes no result.
-3. Windows seen in a smaller doc_id come back to their document, which drops the words they cover.
+   doc_id of each window hash is found. The filter only prunes: a false hit costs a row and changes no result.
+3. Windows seen in a smaller doc_id come back to their document as runs of covered words, which it drops.
 
 Hot passages: every aggregation is combined before its shuffle, and the window join is an equi-join that adaptive
 execution can split. Window hashes have 64 bits.
@@ -32,6 +32,7 @@ WINDOW = 13
 #: Difference covers: period -> residues with all differences modulo the period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3)}
 BITMAP_BITS = 27
+HASHES = 2
 
 
 def plan(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -61,12 +62,20 @@ def _count_anchors(window: int):
     return run
 
 
+def _slots(h, bits: int, k: int):
+    """The k-th place of a hash in the bitmap: its top bits, then those below (a Column or numpy values)."""
+    if isinstance(h, np.ndarray):
+        return ((h << np.uint64(k * 24)) >> np.uint64(64 - bits)).astype(np.int64)
+    return F.shiftrightunsigned(F.shiftleft(h, k * 24), 64 - bits)
+
+
 def _bitmap(docs: DataFrame, window: int, bits: int):
-    """A bitmap of fixed size (2^bits bits) with the anchors that occur twice; the driver gets its 64-bit words."""
+    """A Bloom filter of fixed size (2^bits bits) with the anchors that occur twice; the driver gets its 64-bit words."""
     twice = docs.mapInArrow(_count_anchors(window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    slot = F.shiftrightunsigned("h", 64 - bits)
-    one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    table = twice.select(slot.alias("slot")).select(F.shiftright("slot", 6).cast("int").alias("i"), one.alias("w")).groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()
+    slot = twice.select(F.explode(F.array(*(_slots(F.col("h"), bits, k) for k in range(HASHES)))).alias("slot"))
+    word = slot.select(F.shiftright("slot", 6).cast("int").alias("i"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("w"))
+    with common.freed_shuffles(docs.sparkSession):
+        table = word.groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()
     out = np.zeros(max(1, 1 << (bits - 6)), np.int64)
     out[table.column("i").to_numpy()] = table.column("w").to_numpy()
     return docs.sparkSession.sparkContext.broadcast(out.view(np.uint64))
@@ -79,12 +88,14 @@ def _candidates(window: int, bits: int, bitmap):
         for batch in common.slices(batches):
             words = _split(batch)
             at, h = _anchors(words, window)
-            slot = (h >> np.uint64(64 - bits)).astype(np.int64)
-            hit = (marked[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
-            seen = np.zeros(len(words.pos) + window + 1, np.int32)
+            hit = np.ones(len(at), np.uint64)
+            for k in range(HASHES):
+                slot = _slots(h, bits, k)
+                hit &= marked[slot >> 6] >> (slot & 63).astype(np.uint64)
+            n = len(words.pos)
+            seen = np.zeros(n + window + 1, np.int32)
             seen[at + 1] = hit.astype(np.int32)
             seen = np.cumsum(seen, dtype=np.int32)
-            n = len(words.pos)
             near = seen[window - width + 1 : window - width + 1 + n] > seen[:n]  # an anchor starts in the window and ends in it
             p = np.flatnonzero(near & (words.left >= window))
             doc = np.asarray(batch.column("doc_id").fill_null(0))[words.doc[p]]
@@ -93,42 +104,59 @@ def _candidates(window: int, bits: int, bitmap):
     return run
 
 
-def _covered(n: int, at, window: int) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of at."""
-    edge = np.zeros(n + 1, np.int32)
-    if at is not None and len(at):
-        p = np.unique(np.asarray(at))
-        edge[p] += 1
-        edge[p + window] -= 1
-    return np.cumsum(edge[:n]) > 0
+def _runs(window: int):
+    """Starts of windows to the runs of words that they cover."""
 
+    def run(batches):
+        for batch in batches:
+            lists = []
+            for at in _lists(batch.column("at")):
+                p = np.unique(at).astype(np.int64)
+                first = np.r_[True, p[1:] > p[:-1] + window] if len(p) else np.zeros(0, bool)
+                last = np.r_[first[1:], True] if len(p) else first
+                lists.append(np.stack([p[first], p[last] + window], 1).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "at"])
 
-def spans(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP_BITS) -> DataFrame:
-    """(doc_id, at array<int>): where in a document windows start that also start in a document with a smaller doc_id."""
-    it = common.id_text(docs)
-    found = it.mapInArrow(_candidates(window, bits, _bitmap(it, window, bits)), "h long, doc_id long, pos int")
-    first = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
-    return found.join(first, "h").where("lo < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    return run
 
 
-def _digests(window: int):
-    def run(batches):
-        for batch in common.slices(batches):
-            n, gone, sha = [], [], []
-            for t, at in zip(common.texts(batch), _lists(batch.column("at"))):
-                ws = t.split()
-                if at is not None:
-                    out = _covered(len(ws), at, window)
-                    n.append(len(ws))
-                    gone.append(int(out.sum()))
-                    ws = [w for w, o in zip(ws, out.tolist()) if not o]
-                else:
-                    n.append(len(ws))
-                    gone.append(0)
-                sha.append(hashlib.sha256(b" ".join(ws)).hexdigest())
-            yield pa.RecordBatch.from_arrays([common.ids(batch), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+def _covered(n: int, runs) -> np.ndarray:
+    """Which of n words lie in one of the runs, a flat row of starts and ends."""
+    out = np.zeros(n, bool)
+    for a, b in zip(runs[::2].tolist(), runs[1::2].tolist()):
+        out[a:b] = True
+    return out
 
-    return run
+
+def spans(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP_BITS) -> DataFrame:
+    """(doc_id, at array<int>): runs of words to remove, as a row of starts and ends, where there are any.
+
+    They are covered by windows whose words also start in a document with a smaller doc_id.
+    """
+    it = common.id_text(docs)
+    found = common.stored(it.mapInArrow(_candidates(window, bits, _bitmap(it, window, bits)), "h long, doc_id long, pos int"), "windows")
+    first = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
+    starts = found.join(first, "h").where("lo < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    out = common.stored(starts.mapInArrow(_runs(window), "doc_id long, at array<int>"), "spans")
+    common.drop(found)
+    return out
+
+
+def _digests(batches):
+    for batch in common.slices(batches):
+        n, gone, sha = [], [], []
+        for t, at in zip(common.texts(batch), _lists(batch.column("at"))):
+            ws = t.split()
+            if at is not None:
+                out = _covered(len(ws), at)
+                n.append(len(ws))
+                gone.append(int(out.sum()))
+                ws = [w for w, o in zip(ws, out.tolist()) if not o]
+            else:
+                n.append(len(ws))
+                gone.append(0)
+            sha.append(hashlib.sha256(b" ".join(ws)).hexdigest())
+        yield pa.RecordBatch.from_arrays([common.ids(batch), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _lists(col) -> list:
@@ -137,10 +165,9 @@ def _lists(col) -> list:
     return [values[a:b] if ok else None for a, b, ok in zip(edges, edges[1:], col.is_valid().to_pylist())]
 
 
-def cut(text: bytes, at, window: int = WINDOW) -> bytes:
-    """A text without the words that the windows cover; a kept word keeps the white space that follows it."""
-    n = len(text.split())
-    out = _covered(n, at, window)
+def cut(text: bytes, runs) -> bytes:
+    """A text without the words of some runs; a kept word keeps the white space that follows it."""
+    out = _covered(len(text.split()), runs)
     if not out.any():
         return text
     raw = np.frombuffer(text, np.uint8)
@@ -150,25 +177,22 @@ def cut(text: bytes, at, window: int = WINDOW) -> bytes:
     return b"".join(text[a:b] for a, b, o in zip(begins.tolist(), ends.tolist(), out.tolist()) if not o).rstrip(b" \t\n\r\x0b\x0c")
 
 
-def _cut_texts(window: int):
-    def run(batches):
-        for batch in common.slices(batches):
-            at = _lists(batch.column("at"))
-            new = [t if p is None else cut(t, p, window) for t, p in zip(common.texts(batch), at)]
-            new = pa.array([None if p is None and not ok else t for t, p, ok in zip(new, at, batch.column("text").is_valid().to_pylist())], pa.binary()).cast(pa.string())
-            put = {"text": new}
-            if "n_chars" in batch.schema.names:
-                own = batch.column("n_chars")
-                put["n_chars"] = pc.if_else(batch.column("at").is_valid(), pc.utf8_length(new).cast(own.type), own)
-            out = pa.RecordBatch.from_arrays([put.get(f.name, batch.column(f.name)) for f in batch.schema if f.name != "at"], [f.name for f in batch.schema if f.name != "at"])
-            yield out.filter(pa.array([p is None or t != b"" for p, t in zip(at, new.cast(pa.binary()).to_pylist())]))
-
-    return run
+def _cut_texts(batches):
+    for batch in common.slices(batches):
+        at = _lists(batch.column("at"))
+        new = [t if p is None else cut(t, p) for t, p in zip(common.texts(batch), at)]
+        new = pa.array([None if p is None and not ok else t for t, p, ok in zip(new, at, batch.column("text").is_valid().to_pylist())], pa.binary()).cast(pa.string())
+        put = {"text": new}
+        if "n_chars" in batch.schema.names:
+            own = batch.column("n_chars")
+            put["n_chars"] = pc.if_else(batch.column("at").is_valid(), pc.utf8_length(new).cast(own.type), own)
+        out = pa.RecordBatch.from_arrays([put.get(f.name, batch.column(f.name)) for f in batch.schema if f.name != "at"], [f.name for f in batch.schema if f.name != "at"])
+        yield out.filter(pa.array([p is None or t != b"" for p, t in zip(at, new.cast(pa.binary()).to_pylist())]))
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    return common.id_text(docs).join(spans(docs, window), "doc_id", "left").mapInArrow(_digests(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return common.id_text(docs).join(spans(docs, window), "doc_id", "left").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -178,4 +202,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; one that has no word left after that goes, n_chars follows the text."""
     found = spans(docs).withColumnRenamed("doc_id", "_id")
-    return docs.join(found, docs["doc_id"] == found["_id"], "left").drop("_id").mapInArrow(_cut_texts(WINDOW), docs.schema)
+    return docs.join(found, docs["doc_id"] == found["_id"], "left").drop("_id").mapInArrow(_cut_texts, docs.schema)
