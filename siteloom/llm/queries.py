@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, mixing, packing, quality, simhash, substring, suffixtree, tiff
+from . import chat, licenses, mixing, packing, quality, rangecoder, simhash, substring, suffixtree, tiff
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_output": rangecoder.query,
         "op2_license_scan": licenses.query,
         "op3_chat_format": chat.query,
         "op4_suffix_tree": suffixtree.query,
