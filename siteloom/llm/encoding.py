@@ -1,8 +1,9 @@
-"""Whole texts to token ids with the tokenizers library, remembering the ids of the chunks seen before.
+"""Whole texts to token ids with the tokenizers library, remembering the ids of each piece.
 
-A byte-level pre-tokenizer always starts a piece at a single space between two characters that are not white space. A text
-cut there encodes to the ids of its chunks in a row, so each chunk needs the library once per worker; the memory of chunks
-is emptied when it is full. Chunks of ASCII characters are cut further into the library's own pieces first.
+A byte-level tokenizer cuts a text into pieces by a pattern and encodes each piece by itself. The pattern is applied here to
+texts of ASCII and Latin characters, on which libraries agree what a letter is, and every piece that a worker has not met
+goes through the library once. In other texts the parts between single spaces go to the library whole; a piece always
+starts at such a space. The memory of pieces is emptied when it is full.
 """
 
 from __future__ import annotations
@@ -11,16 +12,19 @@ import os
 import re
 
 import numpy as np
+import regex
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Chunks (and pieces) remembered by a worker; about 200 bytes each.
-REMEMBERED = 400_000
+#: Pieces remembered by a worker; about 150 bytes each.
+REMEMBERED = 1_200_000
 _NEAR = re.compile(r"\s | \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: ASCII characters on which libraries differ whether they are white space.
-_ODD = re.compile(r"[\x1c-\x1f]")
-#: The pre-tokenizer's pattern on ASCII text.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: Characters beyond Latin, and ASCII ones on which libraries differ whether they are white space.
+_ODD = re.compile(r"[\x1c-\x1f\u0250-\U0010ffff]")
+#: The pre-tokenizer's pattern, on ASCII and in general.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PRINTABLE = re.compile(r" ?[!-~]+")
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -49,23 +53,27 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces = _Memory(self._ids)
-        self.chunks = _Memory(self._chunk)
+        self.pieces = _Memory(self._piece)
 
     def _ids(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _chunk(self, s: str) -> bytes:
-        if s.isascii() and not _ODD.search(s):
-            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(s)))
+    def _piece(self, s: str) -> bytes:
+        if _PRINTABLE.fullmatch(s):  # bytes that stand for themselves, but for the space
+            return np.array([t.id for t in self.tokenizer.model.tokenize(s.replace(" ", "\u0120"))], np.uint32).tobytes()
         return self._ids(s)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
+        if text.isascii() and not _ODD.search(text):
+            return b"".join(map(self.pieces.__getitem__, _ASCII.findall(text)))
+        if not _ODD.search(text):
+            return b"".join(map(self.pieces.__getitem__, _LATIN.findall(text)))
         first, *rest = _CUT.split(text) if _NEAR.search(text) else text.split(" ")
-        return b"".join([self.chunks[first] if first else b"", *map(self.chunks.__getitem__, [" " + x for x in rest])])
+        return b"".join([self._ids(first) if first else b"", *map(self._part, [" " + x for x in rest])])
+
+    def _part(self, s: str) -> bytes:
+        return self._ids(s) if _ODD.search(s) else b"".join(map(self.pieces.__getitem__, _LATIN.findall(s)))
 
 
 _encoders: dict[str, Encoder] = {}
