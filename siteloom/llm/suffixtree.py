@@ -71,7 +71,8 @@ class Candidates:
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Dense tables from codes to places, -1 where there is none."""
         if not hasattr(self, "_tables"):
-            a, b = np.full(1 << 24, -1, np.int32), np.full(len(self.three) << 8 or 1, -1, np.int32)
+            small = np.int16 if len(self.three) < 1 << 15 else np.int32
+            a, b = np.full(1 << 24, -1, small), np.full(len(self.three) << 8 or 1, -1, np.int32)
             a[self.three], b[self.four] = np.arange(len(self.three)), np.arange(len(self.four))
             self._tables = a, b
         return self._tables
@@ -82,7 +83,7 @@ class Candidates:
     def places(self, s: Symbols) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.tables()
         k3 = a[s.back(3) << 16 | s.back(2) << 8 | s.back(1)]
-        k4 = np.where(k3 >= 0, b[np.maximum(k3, 0) << 8 | s.back(4)], -1) if len(self.four) else np.full(len(k3), -1, np.int32)
+        k4 = np.where(k3 >= 0, b[np.maximum(k3, 0).astype(np.int32) << 8 | s.back(4)], -1) if len(self.four) else np.full(len(k3), -1, np.int32)
         return k3, k4
 
 
@@ -93,27 +94,31 @@ def _training(batch) -> list[list[bytes]]:
     return [t.lower().split() for t, d in zip(common.texts(batch), batch.column("doc_id").to_pylist()) if not held_out(d)]
 
 
-def _counted(docs: DataFrame, codes) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the codes that codes(symbols) gives, summed over the corpus: their number is bounded by the code space."""
+def _counted(docs: DataFrame, codes, space: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the codes below space that codes(symbols) gives, summed over the corpus."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
-        for batch in common.slices(batches, 4 << 20):
+        total, held = np.zeros(space, np.uint32), 0
+
+        def rows():
+            code = np.flatnonzero(total)
+            for a in range(0, len(code), 100_000):
+                part = code[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], ["code", "n"])
+
+        for batch in common.slices(batches, 2 << 20):
             split = _training(batch)
             if split:
-                n = np.bincount(codes(Symbols(split)))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
-        code = np.flatnonzero(total)
-        for a in range(0, len(code), 100_000):
-            part = code[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["code", "n"])
+                found, times = np.unique(codes(Symbols(split)).astype(np.int32), return_counts=True)
+                total[found] += times.astype(np.uint32)
+                held += int(batch.nbytes)
+                if held > 1 << 30:  # before a count could run over
+                    yield from rows()
+                    total[:], held = 0, 0
+        yield from rows()
 
     with common.freed_shuffles(docs.sparkSession):
-        got = docs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        got = docs.mapInArrow(common.tidied(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     return got.column("code").to_numpy(), got.column("n").to_numpy()
 
 
@@ -144,7 +149,7 @@ class Model:
 
 def train(docs: DataFrame, p_min: float = P_MIN, gain: float = GAIN, prior: float = PRIOR) -> Model:
     """Learns from the rows that are not held out, in one pass a level."""
-    code, n = _counted(docs, lambda s: s.back(2) << 16 | s.back(1) << 8 | s.next)
+    code, n = _counted(docs, lambda s: s.back(2) << 16 | s.back(1) << 8 | s.next, 1 << 24)
     total = int(n.sum())
     least = max(2.0, p_min * total)
     cand = Candidates(np.sort(code[n >= least]))
@@ -153,10 +158,10 @@ def train(docs: DataFrame, p_min: float = P_MIN, gain: float = GAIN, prior: floa
     def third(s: Symbols):
         k3, _ = cand.places(s)
         ok = k3 >= 0
-        base = k3[ok] << 8
+        base = k3[ok].astype(np.int64) << 8
         return np.r_[base | s.next[ok], size + (base | s.back(4)[ok])]
 
-    code3, n3 = _counted(docs, third) if size else (code[:0], n[:0])
+    code3, n3 = _counted(docs, third, 2 * size) if size else (code[:0], n[:0])
     before = code3 >= size
     cand = Candidates(cand.three, np.sort(code3[before][n3[before] >= least] - size))
 
@@ -165,7 +170,7 @@ def train(docs: DataFrame, p_min: float = P_MIN, gain: float = GAIN, prior: floa
         ok = k4 >= 0
         return k4[ok] << 8 | s.next[ok]
 
-    code4, n4 = _counted(docs, fourth) if len(cand.four) else (code[:0], n[:0])
+    code4, n4 = _counted(docs, fourth, len(cand.four) << 8) if len(cand.four) else (code[:0], n[:0])
     dense = lambda c, m, rows: np.bincount(c, m, rows << 8).reshape(rows, 256)
     by_two_codes = np.unique(code >> 8)
     two_totals = np.bincount(np.searchsorted(by_two_codes, code >> 8), n, len(by_two_codes))
@@ -218,7 +223,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
             found[b""] += len(split)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
 
-    return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
+    return docs.mapInArrow(common.tidied(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
 
 def _postings(model):
@@ -226,11 +231,11 @@ def _postings(model):
 
     def run(batches):
         m = model.value
-        for k, batch in enumerate(common.slices(batches, 16 << 20)):
+        for k, batch in enumerate(common.slices(batches, 8 << 20)):
             chunk = TaskContext.get().partitionId() << 24 | k
             split = [t.lower().split() for t in common.texts(batch)]
             doc_ids = batch.column("doc_id")
-            score = np.concatenate([m.scores(split[a : a + 500]) for a in range(0, len(split), 500)])
+            score = np.concatenate([m.scores(split[a : a + 100]) for a in range(0, len(split), 100)])
             known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
             lens = np.fromiter(map(len, split), np.int64, len(split)) + 1
             head = np.stack([known, doc_ids.fill_null(0).to_numpy(), lens, np.array([held_out(d) for d in doc_ids.to_pylist()])], 1).astype(np.int64)
@@ -278,7 +283,7 @@ def scored(docs: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(own))
     vocab = common.stored(vocabulary(own), "vocabulary")
     size = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    posts = own.mapInArrow(_postings(model), "word binary, chunk long, posts binary")
+    posts = own.mapInArrow(common.tidied(_postings(model)), "word binary, chunk long, posts binary")
     counted = posts.join(vocab, "word", "left").select("chunk", F.col("word").isNull().alias("word_missing"), "posts", "c")
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return counted.groupBy("chunk").applyInArrow(_scored(int(size[0]), int(size[1])), kinds)
