@@ -135,7 +135,7 @@ class _Elements(HTMLParser):
         for k, v in attrs:
             first.setdefault(k, v or "")
         if first:
-            self.found.append({"tag": tag, "attrs": list(first.items()), "pos": len(self.found)})
+            self.found.append({"tag": tag, "attrs": first, "pos": len(self.found)})
 
     handle_startendtag = handle_starttag
 

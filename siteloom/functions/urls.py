@@ -62,7 +62,7 @@ def parse_web_url(url: Column) -> Column:
         host = F.lower(F.regexp_extract(r["place"], r"^(\[[^\]]*\]|[^:]*)", 1))
         port = F.regexp_extract(r["place"], r":(\d{1,5})$", 1).try_cast("int")
         usual = F.when(r["scheme"] == "https", 443).otherwise(80)
-        bad = ~r["scheme"].isin("http", "https") | (host == "") | r["place"].rlike(r":[^\]]*[^0-9\]]") | F.coalesce(port > 65535, F.lit(False)) | host.rlike(r"[\x00-\x20\"<>^`{|}%]")
+        bad = ~r["scheme"].isin("http", "https") | (host == "") | F.regexp_replace(r["place"], r"^\[[^\]]*\]", "").rlike(":.*[^0-9]") | F.coalesce(port > 65535, F.lit(False)) | host.rlike(r"[\x00-\x20\"<>^`{|}%]")
         return F.when(
             ~bad,
             F.struct(

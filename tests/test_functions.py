@@ -34,7 +34,7 @@ def test_parse(spark):
 def test_joining_equals_the_standard_library(spark):
     rng, base = random.Random(1), "https://h.example/a/b/c?q=1"
     refs = ["", "?x=1", "/", "//o.example/p", "http://o.example", ".", "..", "../..", "../../../x", "./y/", "z?u#v", "/a//b"]
-    refs += ["/".join(rng.choice(["a", "..", ".", "b.c", ""]) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    refs += ["/".join(rng.choice(["a", "..", ".", "b.c"]) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
     refs = [r for r in refs if not r.startswith("//") or r == "//o.example/p"]
     got = values(spark, [(base, r) for r in refs], "base string, r string", urls.href(urls.parse_web_url(urls.joined(urls.parse_web_url(F.col("base")), F.col("r")))))
     for r, (g,) in zip(refs, got):
@@ -166,9 +166,9 @@ def test_spa(spark):
 
 
 def rewritten(spark, page, text, css=False):
-    u = urls.parse_web_url(F.col("p"))
     f = rewrite.rewrite_css if css else rewrite.rewrite_html
-    return values(spark, [(page, text)], "p string, t string", f(F.col("t"), u, F.lit("example.com"), F.lit(None).cast("int")))[0][0]
+    df = urls.with_url(spark.createDataFrame([(page, text)], "p string, t string"), "p", "u")
+    return df.select(f(F.col("t"), F.col("u"), F.lit("example.com"), F.lit(None).cast("int"))).first()[0]
 
 
 HOME = "https://example.com/"
