@@ -166,14 +166,20 @@ def tokenized(html: Column) -> Column:
 def asset_refs(pages: DataFrame, elements: str = "elements") -> DataFrame:
     """Adds seq, ref: references to assets, by kind of element first and in document order within, repeats kept."""
     e = F.col(elements)
-    kinds = []
-    for k, (tag, attr) in enumerate(ASSET_ATTRIBUTES):
-        mine = F.filter(e, lambda x, tag=tag, attr=attr: (x["tag"] == tag) & x["attrs"][attr].isNotNull() & ((F.lit(tag) != "input") | (F.lower(x["attrs"]["type"]) == "image")))
-        kinds.append(F.transform(mine, lambda x, k=k, attr=attr: F.struct(F.lit(k).alias("kind"), x["attrs"][attr].alias("ref"))))
-    for k, (tag, need) in enumerate((("img", "srcset"), ("source", "srcset"), ("img", "data-srcset"), ("source", "data-srcset"))):
-        mine = F.filter(e, lambda x, tag=tag, need=need: (x["tag"] == tag) & x["attrs"][need].isNotNull())
-        sets = F.flatten(F.transform(mine, lambda x: srcset_urls(F.coalesce(x["attrs"]["srcset"], F.lit("")))))
-        kinds.append(F.transform(sets, lambda r, k=k: F.struct(F.lit(len(ASSET_ATTRIBUTES) + k).alias("kind"), r.alias("ref"))))
+
+    def plain(k: int, tag: str, attr: str) -> Column:
+        image = lambda x: F.lower(x["attrs"]["type"]) == "image" if tag == "input" else F.lit(True)
+        mine = F.filter(e, lambda x: (x["tag"] == tag) & x["attrs"][attr].isNotNull() & image(x))
+        return F.transform(mine, lambda x: F.struct(F.lit(k).alias("kind"), x["attrs"][attr].alias("ref")))
+
+    def sets(k: int, tag: str, need: str) -> Column:
+        # elements that have the attribute asked for, of which srcset is read in any case
+        mine = F.filter(e, lambda x: (x["tag"] == tag) & x["attrs"][need].isNotNull())
+        refs = F.flatten(F.transform(mine, lambda x: srcset_urls(F.coalesce(x["attrs"]["srcset"], F.lit("")))))
+        return F.transform(refs, lambda r: F.struct(F.lit(k).alias("kind"), r.alias("ref")))
+
+    kinds = [plain(k, tag, attr) for k, (tag, attr) in enumerate(ASSET_ATTRIBUTES)]
+    kinds += [sets(len(kinds) + k, tag, need) for k, (tag, need) in enumerate((("img", "srcset"), ("source", "srcset"), ("img", "data-srcset"), ("source", "data-srcset")))]
     return pages.select("*", F.posexplode(F.concat(*kinds)).alias("seq", "_a")).select("*", F.col("_a.ref").alias("ref")).drop("_a")
 
 
