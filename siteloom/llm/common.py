@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -70,15 +71,45 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of an Arrow batch: whole texts are long, and Spark's default of 10,000 of them would fill a worker.
+BATCH_ROWS = 2000
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the operators read; null texts count as empty. Other columns, whatever their names, stay out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 # ---------------------------------------------------------------- texts in Arrow batches
 
+pa.set_memory_pool(pa.system_memory_pool())  # the other pools keep what they free
+
+
+def tidy() -> None:
+    """Gives freed memory back: workers stay for later tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run):
+    """A function on batches that tidies up once its own memory is free."""
+
+    def outer(batches):
+        yield from run(batches)
+        tidy()
+
+    return outer
+
 
-def slices(batches, max_bytes: int = 8 << 20, text: str = "text"):
+def slices(batches, max_bytes: int = 4 << 20, text: str = "text"):
     """Arrow batches cut into slices whose texts come to about max_bytes, so that memory does not follow the batch size."""
     for batch in batches:
         n = batch.num_rows

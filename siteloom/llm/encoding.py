@@ -3,7 +3,8 @@
 A byte-level tokenizer cuts a text into pieces by a pattern and encodes each piece by itself. The pattern is applied here to
 texts of ASCII and Latin characters, on which libraries agree what a letter is, and every piece that a worker has not met
 goes through the library once. In other texts the parts between single spaces go to the library whole; a piece always
-starts at such a space. The memory of pieces is emptied when it is full.
+starts at such a space. The memory of pieces is bounded; what
+has not been used for long goes.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import regex
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces remembered by a worker; about 150 bytes each.
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 _NEAR = re.compile(r"\s | \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters beyond Latin, and ASCII ones on which libraries differ whether they are white space.
@@ -34,13 +35,18 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 class _Memory(dict):
-    def __init__(self, make):
-        self.make = make
+    """Values by key, in two generations: when the young one is full, the old one goes, but for what is used again."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self.make(key)
         if len(key) < 64:
             self[key] = out
         return out
@@ -53,7 +59,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces = _Memory(self._piece)
+        self.pieces = _Memory(self._piece, REMEMBERED)
 
     def _ids(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, np.uint32).tobytes()

@@ -114,7 +114,7 @@ def counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
                 found.update(w for w in t.translate(_TABLE).split() if w in vocabulary)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
-    rows = common.id_text(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = common.id_text(docs).mapInArrow(common.tidied(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r.word): r.n for r in rows.collect()}
 
 
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, templates=None, threshold: float = THRESHOLD) -> DataF
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([common.ids(batch), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
-    return common.id_text(docs).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return common.id_text(docs).mapInArrow(common.tidied(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

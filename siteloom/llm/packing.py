@@ -49,7 +49,7 @@ def _pieces(path: str, end: int, capacity: int):
 
 def pieces(docs: DataFrame, path: str | None = None, end: int = END, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document with the checksum of their ids."""
-    return common.id_text(docs).mapInArrow(_pieces(path or encoding.vocabulary(), end, capacity), PIECES)
+    return common.id_text(docs).mapInArrow(common.tidied(_pieces(path or encoding.vocabulary(), end, capacity)), PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:

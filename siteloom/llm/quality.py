@@ -29,6 +29,8 @@ BITS = 18
 TRAIN_ROWS = 4000
 EPOCHS = 8
 THRESHOLD = 0.3
+#: Bytes of text judged at a time; the n-grams of a slice take some fifty times as much memory.
+SLICE = 2 << 20
 _SPACES = bytes([32, *range(9, 14)])
 _NOT_FIRST = bytes(range(0x80, 0xC0))  # UTF-8 bytes that continue a character
 
@@ -81,7 +83,7 @@ def scores(model: Model, split: list[list[bytes]], raw: list[bytes]) -> np.ndarr
 
 
 def _training_rows(batches):
-    for batch in common.slices(batches, 8 << 20):
+    for batch in common.slices(batches, 1 << 20):
         raw = [t.lower() for t in common.texts(batch)]
         parts = list(_features([t.split() for t in raw], raw))
         rows = [b"".join(x) for x in zip(*([s[e - n : e].astype(np.int32).tobytes() for e, n in zip(np.cumsum(c).tolist(), c.tolist())] for s, c in parts))]
@@ -94,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(rows)  # so few rows that they may be broadcast
     texts = common.id_text(docs).join(F.broadcast(chosen.withColumn("label", F.col("label").cast("long"))), "doc_id")
-    got = texts.mapInArrow(_training_rows, "doc_id long, label long, slots binary, counts array<long>").toArrow()
+    got = texts.mapInArrow(common.tidied(_training_rows), "doc_id long, label long, slots binary, counts array<long>").toArrow()
     if got.num_rows == 0:
         return None
     got = got.sort_by("doc_id")
@@ -107,9 +109,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
         flat, out, a = np.frombuffer(blob, np.int32), [], 0
         for k, n in enumerate(counts):
             slots, times = np.unique(flat[a : a + n], return_counts=True)
-            out.append((slots.astype(np.int64) + (k << bits), times / max(n, 1)))
+            out.append((slots + np.int32(k << bits), (times / max(n, 1)).astype(np.float32)))
             a += n
         rows_.append((np.concatenate([s for s, _ in out]), np.concatenate([x for _, x in out])))
+    del got
     w, g, bias, gb = np.zeros(3 << bits), np.full(3 << bits, 1e-8), 0.0, 1e-8
     fit, rng = np.flatnonzero(~rest) if rest.sum() >= 20 and 0 < y[rest].mean() < 1 else np.arange(len(y)), np.random.default_rng(7)
     for _ in range(EPOCHS):
@@ -125,6 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
     held = np.flatnonzero(rest) if len(fit) < len(y) else np.arange(len(y))
     z = np.array([model.weights.reshape(-1)[rows_[i][0]] @ rows_[i][1] + bias for i in held])
     model.slope, model.shift = calibrated(z, y[held])
+    del rows_
+    common.tidy()
     return model
 
 
@@ -187,12 +192,12 @@ def verdicts(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, SLICE):
             cols = judged(shared.value, common.texts(batch), threshold)
             yield pa.RecordBatch.from_arrays([common.ids(batch), *map(pa.array, cols.values())], ["doc_id", *cols])
 
     kinds = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
-    return common.id_text(docs).mapInArrow(run, f"doc_id long, {kinds}")
+    return common.id_text(docs).mapInArrow(common.tidied(run), f"doc_id long, {kinds}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -202,10 +207,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules and the classifier keep, unchanged."""
+    common.small_batches(spark)
     shared = spark.sparkContext.broadcast(train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
     def run(batches):
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, SLICE):
             yield batch.filter(pa.array(judged(shared.value, common.texts(batch))["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidied(run), docs.schema)

@@ -289,7 +289,7 @@ SHARDS = "part int, chunk int, n_tokens long, doc_ids array<long>, lengths array
 def shards(docs: DataFrame, path: str | None = None, end: int = END, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """Shard rows of all documents in ascending doc_id order: range-partitioned, so no task sees more than its range."""
     ordered = common.id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(_shards(path or encoding.vocabulary(), end, block, chunk), SHARDS)
+    return ordered.mapInArrow(common.tidied(_shards(path or encoding.vocabulary(), end, block, chunk)), SHARDS)
 
 
 def _documents(batches):
@@ -314,7 +314,7 @@ def read_documents(table: DataFrame) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("n").over(to_here), F.lit(0)).alias("before_part"))
     in_part = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = sizes.select("part", "chunk", F.coalesce(F.sum("n_tokens").over(in_part), F.lit(0)).alias("before_chunk")).join(parts, "part")
-    rows = table.mapInArrow(_documents, "part int, chunk int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    rows = table.mapInArrow(common.tidied(_documents), "part int, chunk int, doc_id long, offset long, n_tokens long, ids_crc32 long")
     return rows.join(chunks, ["part", "chunk"]).select("doc_id", (F.col("before_part") + F.col("before_chunk") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 

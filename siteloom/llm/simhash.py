@@ -55,7 +55,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) for every row."""
-    return common.id_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return common.id_text(docs).mapInArrow(common.tidied(_fingerprints), "doc_id long, fp long")
 
 
 def _segment(fp, k: int):
@@ -109,5 +109,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; of repeated rows with that id, one."""
     own = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = common.stored(own.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "fp-keep")
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    kept = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id"]) if keep.where("_n > 1").limit(1).count() else kept

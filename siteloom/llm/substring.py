@@ -71,13 +71,15 @@ def _slots(h, bits: int, k: int):
 
 def _bitmap(docs: DataFrame, window: int, bits: int):
     """A Bloom filter of fixed size (2^bits bits) with the anchors that occur twice; the driver gets its 64-bit words."""
-    twice = docs.mapInArrow(_count_anchors(window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    twice = docs.mapInArrow(common.tidied(_count_anchors(window)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     slot = twice.select(F.explode(F.array(*(_slots(F.col("h"), bits, k) for k in range(HASHES)))).alias("slot"))
     word = slot.select(F.shiftright("slot", 6).cast("int").alias("i"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("w"))
     with common.freed_shuffles(docs.sparkSession):
         table = word.groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()
     out = np.zeros(max(1, 1 << (bits - 6)), np.int64)
     out[table.column("i").to_numpy()] = table.column("w").to_numpy()
+    del table
+    common.tidy()
     return docs.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
 
@@ -134,11 +136,12 @@ def spans(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP_BITS) -> Dat
     They are covered by windows whose words also start in a document with a smaller doc_id.
     """
     it = common.id_text(docs)
-    found = common.stored(it.mapInArrow(_candidates(window, bits, _bitmap(it, window, bits)), "h long, doc_id long, pos int"), "windows")
+    found = common.stored(it.mapInArrow(common.tidied(_candidates(window, bits, _bitmap(it, window, bits))), "h long, doc_id long, pos int"), "windows")
     first = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
+    first = common.stored(first, "first-windows")  # from a table, both sides of the join are shuffled for it, and a hot window can be split
     starts = found.join(first, "h").where("lo < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
-    out = common.stored(starts.mapInArrow(_runs(window), "doc_id long, at array<int>"), "spans")
-    common.drop(found)
+    out = common.stored(starts.mapInArrow(common.tidied(_runs(window)), "doc_id long, at array<int>"), "spans")
+    common.drop(found, first)
     return out
 
 
@@ -192,7 +195,7 @@ def _cut_texts(batches):
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    return common.id_text(docs).join(spans(docs, window), "doc_id", "left").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return common.id_text(docs).join(spans(docs, window).hint("merge"), "doc_id", "left").mapInArrow(common.tidied(_digests), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -202,4 +205,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; one that has no word left after that goes, n_chars follows the text."""
     found = spans(docs).withColumnRenamed("doc_id", "_id")
-    return docs.join(found, docs["doc_id"] == found["_id"], "left").drop("_id").mapInArrow(_cut_texts, docs.schema)
+    return docs.join(found.hint("merge"), docs["doc_id"] == found["_id"], "left").drop("_id").mapInArrow(common.tidied(_cut_texts), docs.schema)

@@ -234,7 +234,7 @@ def decoded(files: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     own = files.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{media_col}` as media")
-    return own.mapInArrow(run, "doc_id long, page int, width int, height int, samples int, bits int, pixels binary, error string")
+    return own.mapInArrow(common.tidied(run), "doc_id long, page int, width int, height int, samples int, bits int, pixels binary, error string")
 
 
 # ---------------------------------------------------------------- texts as media
@@ -272,7 +272,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
             media = [encoded(t + b" " * (-len(t) % UNIT or (0 if t else UNIT))) for t in raw]
             yield pa.RecordBatch.from_arrays([common.ids(batch), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return common.id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return common.id_text(docs).mapInArrow(common.tidied(run), "doc_id long, n_bytes long, media binary")
 
 
 def feature(payload: bytes, n_pages: int) -> str:
@@ -298,7 +298,7 @@ def features(media: DataFrame) -> DataFrame:
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, len(parts))))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(common.tidied(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
