@@ -157,7 +157,7 @@ SELECT *, CASE WHEN total_bytes < 1024 THEN total_bytes || ' B' WHEN total_bytes
     "archive_listing": f"WITH {PAGES} SELECT page_id, opath AS path, strlen(html) AS size FROM canon WHERE page_id % 10 <> 0",
     "charset_sniff": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'gb2312' ELSE 'utf-8' END AS charset FROM pages",
     "formatted_sizes": "WITH s AS (SELECT page_id, strlen(html) * page_id * page_id AS n FROM pages) SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size_text FROM s",
-    "bfs_depths": """WITH RECURSIVE e AS (SELECT page_id AS a, unnest([(2 * page_id + 1) % c, (3 * page_id + 2) % c]) AS b FROM pages, (SELECT count(*) AS c FROM pages)),
+    "bfs_depths": """WITH RECURSIVE e AS (SELECT page_id AS a, unnest([(2 * page_id + 1) % c, (2 * page_id + 2) % c]) AS b FROM pages, (SELECT count(*) AS c FROM pages)),
 r(id, depth) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.id WHERE r.depth < 20)
 SELECT 'https://site.example/p' || id AS canonical_url, min(depth) AS depth FROM r GROUP BY id""",
 }

@@ -234,14 +234,14 @@ def formatted_sizes(spark, sf_dir):
 
 
 def bfs_depths(spark, sf_dir):
-    """Breadth-first crawl of a site made of the pages: page i links to the pages 2i + 1 and 3i + 2 in the order of ids."""
+    """Breadth-first crawl of a site made of the pages: page i links to the pages 2i + 1 and 2i + 2, beyond the last one from the start again."""
     from ..operators.crawl import crawl
 
     ids = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
     name = lambda k: F.concat(F.lit("https://site.example/p"), k.cast("string"))
     n = ids.count()
     i = F.col("page_id")
-    rows = ids.select(name(i).alias("canonical_url"), F.array(name((2 * i + 1) % n), name((3 * i + 2) % n)).alias("links"))
+    rows = ids.select(name(i).alias("canonical_url"), F.array(name((2 * i + 1) % n), name((2 * i + 2) % n)).alias("links"))
     seeds = ids.where("page_id = 0").select(name(i).alias("canonical_url"), name(i).alias("url"), F.lit("site.example").alias("site"))
     return crawl(rows, seeds).select("canonical_url", F.col("depth").cast("long").alias("depth"))
 
