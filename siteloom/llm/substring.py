@@ -69,18 +69,31 @@ def _slots(h, bits: int, k: int):
     return F.shiftrightunsigned(F.shiftleft(h, k * 24), 64 - bits)
 
 
-def _bitmap(docs: DataFrame, window: int, bits: int):
-    """A Bloom filter of fixed size (2^bits bits) with the anchors that occur twice; the driver gets its 64-bit words."""
-    twice = docs.mapInArrow(common.tidied(_count_anchors(window)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    slot = twice.select(F.explode(F.array(*(_slots(F.col("h"), bits, k) for k in range(HASHES)))).alias("slot"))
+def bloom(hashes: DataFrame, bits: int):
+    """A Bloom filter of fixed size (2^bits bits) with the longs of column h; the driver gets its 64-bit words."""
+    slot = hashes.select(F.explode(F.array(*(_slots(F.col("h"), bits, k) for k in range(HASHES)))).alias("slot"))
     word = slot.select(F.shiftright("slot", 6).cast("int").alias("i"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("w"))
-    with common.freed_shuffles(docs.sparkSession):
+    with common.freed_shuffles(hashes.sparkSession):
         table = word.groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()
     out = np.zeros(max(1, 1 << (bits - 6)), np.int64)
     out[table.column("i").to_numpy()] = table.column("w").to_numpy()
     del table
     common.tidy()
-    return docs.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+    return hashes.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def hits(marked: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """1 where a hash may be in the filter, else 0."""
+    out = np.ones(len(h), np.uint64)
+    for k in range(HASHES):
+        slot = _slots(h, bits, k)
+        out &= marked[slot >> 6] >> (slot & 63).astype(np.uint64)
+    return out
+
+
+def _bitmap(docs: DataFrame, window: int, bits: int):
+    """A Bloom filter with the anchors that occur twice."""
+    return bloom(docs.mapInArrow(common.tidied(_count_anchors(window)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), bits)
 
 
 def _candidates(window: int, bits: int, bitmap):
@@ -90,10 +103,7 @@ def _candidates(window: int, bits: int, bitmap):
         for batch in common.slices(batches):
             words = _split(batch)
             at, h = _anchors(words, window)
-            hit = np.ones(len(at), np.uint64)
-            for k in range(HASHES):
-                slot = _slots(h, bits, k)
-                hit &= marked[slot >> 6] >> (slot & 63).astype(np.uint64)
+            hit = hits(marked, h, bits)
             n = len(words.pos)
             seen = np.zeros(n + window + 1, np.int32)
             seen[at + 1] = hit.astype(np.int32)

@@ -7,6 +7,14 @@ Kullback-Leibler divergence, exceeds GAIN (suffixes of retained contexts stay to
 suffix's with weight PRIOR, down to half a count for each symbol. A text's score adds the log10 probability of each symbol after
 the longest retained suffix of what precedes it.
 
+That tree's size is bounded, so the query puts a second one over it whose symbols are words (and the end of a text) and which
+grows with the corpus. Its contexts of up to WORD_DEPTH words are candidates when they occur LEAST times, an absolute count, and
+are retained by the same test. Smoothing weighs a context's suffix by the number of its different next words; at the root, words
+seen in training share N / (N + V) by their counts, and others share the rest by the byte tree's probability of the word and a
+space. Counts and probabilities stay in distributed tables that are joined; only Bloom filters of fixed size, which prune, are
+broadcast. The log probability after the longest retained context is the root's plus one difference a level, so each chunk of
+texts asks for the values of the contexts and pairs it holds, and a text's values are added up.
+
 Beside it a unigram base score over words, whose counts are joined, not broadcast: each chunk of texts sends the words it
 holds with their postings, and gets them back with counts.
 
@@ -23,17 +31,23 @@ from itertools import count as counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, substring
 
 DEPTH = 4
 P_MIN = 1e-4
 GAIN = 20.0
 PRIOR = 8.0
 END = 10  # no word holds this byte
+#: The tree over words: longest contexts, and how often a context must occur.
+WORD_DEPTH = 3
+LEAST = 50
+#: Parts of the texts that ask for values one after the other, which bounds the disk.
+PARTS = 4
 _PAD = bytes([END]) * DEPTH
 FOLDS, HELD_OUT = 5, 1
 
@@ -133,8 +147,7 @@ class Model:
     four: np.ndarray
     logs: np.ndarray
 
-    def scores(self, split: list[list[bytes]]) -> np.ndarray:
-        s = Symbols(split)
+    def _each(self, s: Symbols) -> np.ndarray:
         row = self.one[s.back(1)]
         deeper = self.two[s.back(2) << 8 | s.back(1)]
         row = np.where(deeper >= 0, deeper, row)
@@ -142,9 +155,19 @@ class Model:
             if len(rows):
                 deeper = np.where(k >= 0, rows[np.maximum(k, 0)], -1)
                 row = np.where(deeper >= 0, deeper, row)
-        each = self.logs.reshape(-1)[row.astype(np.int64) << 8 | s.next]
+        return self.logs.reshape(-1)[row.astype(np.int64) << 8 | s.next]
+
+    def scores(self, split: list[list[bytes]]) -> np.ndarray:
+        s = Symbols(split)
         edges = np.r_[0, np.cumsum(s.lens)]
-        return np.diff(np.r_[0.0, np.cumsum(each, dtype=np.float64)][edges])
+        return np.diff(np.r_[0.0, np.cumsum(self._each(s), dtype=np.float64)][edges])
+
+    def word_scores(self, words: list[bytes]) -> np.ndarray:
+        """Each word and a space, at the start of a text."""
+        s = Symbols([[w, b""] for w in words])
+        each = self._each(s).astype(np.float64)
+        each[np.cumsum(s.lens) - 1] = 0  # the end
+        return np.diff(np.r_[0.0, np.cumsum(each)][np.r_[0, np.cumsum(s.lens)]])
 
 
 def train(docs: DataFrame, p_min: float = P_MIN, gain: float = GAIN, prior: float = PRIOR) -> Model:
@@ -226,7 +249,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(common.tidied(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
 
-def _postings(model):
+def _postings(model, depth: int):
     """For each chunk: a row without a word that holds its documents, then a row for each word with (place, times) pairs."""
 
     def run(batches):
@@ -235,10 +258,10 @@ def _postings(model):
             chunk = TaskContext.get().partitionId() << 24 | k
             split = [t.lower().split() for t in common.texts(batch)]
             doc_ids = batch.column("doc_id")
-            score = np.concatenate([m.scores(split[a : a + 100]) for a in range(0, len(split), 100)])
+            score = np.zeros(len(split)) if depth else np.concatenate([m.scores(split[a : a + 100]) for a in range(0, len(split), 100)])
             known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
             lens = np.fromiter(map(len, split), np.int64, len(split)) + 1
-            head = np.stack([known, doc_ids.fill_null(0).to_numpy(), lens, np.array([held_out(d) for d in doc_ids.to_pylist()])], 1).astype(np.int64)
+            head = np.stack([known, doc_ids.fill_null(0).to_numpy(), lens, np.array([held_out(d) for d in doc_ids.to_pylist()]), text_hashes(split)], 1).astype(np.int64)
             names = defaultdict(counter().__next__)
             codes = np.fromiter((c for ws in split for c in [*map(names.__getitem__, ws), names[b""]]), np.int64, int(lens.sum()))
             pairs, times = np.unique(codes * len(split) + np.repeat(np.arange(len(split)), lens), return_counts=True)
@@ -254,13 +277,13 @@ def _postings(model):
     return run
 
 
-def _scored(n_train: int, n_words: int):
+def _scored(n_train: int, n_words: int, model, depth: int):
     def run(key, table):
         lone = table.column("word_missing").to_numpy()
         at = int(np.flatnonzero(lone)[0])
         blob = table.column("posts")[at].as_py()
-        n = len(blob) // 40
-        head, score = np.frombuffer(blob, np.int64, 4 * n).reshape(n, 4), np.frombuffer(blob, np.float64, n, 32 * n)
+        n = len(blob) // 48
+        head, score = np.frombuffer(blob, np.int64, 5 * n).reshape(n, 5), np.frombuffer(blob, np.float64, n, 40 * n)
         rest = table.filter(pa.array(~lone))
         c = rest.column("c").fill_null(0).to_numpy()
         logp = np.log10((c + 0.5) / (n_train + 0.5 * (n_words + 1)))
@@ -271,23 +294,209 @@ def _scored(n_train: int, n_words: int):
         doc, times, each = pairs[order, 0], pairs[order, 1], each[order]
         base = np.bincount(doc, times * logp[each], n)
         known = np.bincount(doc, times * (c[each] > 0), n).astype(np.int64)
-        cols = [pa.array(head[:, 1], mask=head[:, 0] == 0), pa.array(head[:, 3] == 1), pa.array(head[:, 2]), pa.array(known), pa.array(np.full(n, n_train)), pa.array(base), pa.array(score)]
-        return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        if depth:
+            root = np.log10(np.maximum(c, 1) / max(1, n_train + n_words))
+            new, names = np.flatnonzero(c == 0), rest.column("new_word").filter(pa.compute.equal(pa.array(c), 0)).to_pylist()
+            for a in range(0, len(new), 10_000):
+                root[new[a : a + 10_000]] = model.value.word_scores(names[a : a + 10_000])
+            root[new] += np.log10(n_words / (n_train + n_words)) if n_train else 0.0
+            by_root = np.argsort(root[each], kind="stable")
+            score = np.bincount(doc[by_root], (times * root[each])[by_root], n)
+        cols = [pa.array(head[:, 1], mask=head[:, 0] == 0), pa.array(head[:, 3] == 1), pa.array(head[:, 2]), pa.array(known), pa.array(np.full(n, n_train)), pa.array(base), pa.array(score), pa.array(head[:, 4])]
+        return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "text_hash"])
+
+    return run
+
+
+# ---------------------------------------------------------------- contexts of words
+
+_STEP = np.uint64(common.multipliers(1, seed=4)[0])
+
+
+def _hash(words: list[bytes]) -> np.ndarray:
+    """As Spark's xxhash64() of a binary column."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+
+
+_END_HASH = _hash([b""])[0]
+
+
+def text_hashes(split: list[list[bytes]]) -> np.ndarray:
+    return _hash([b" ".join(ws) for ws in split]).view(np.int64)
+
+
+def _chained(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context made one word longer at its near end."""
+    return common.mix64(context * _STEP + word)
+
+
+class Grams:
+    """Word hashes of some texts in a row, each text after and before an end, and hashes of the contexts before each place."""
+
+    def __init__(self, split: list[list[bytes]], depth: int):
+        self.lens = np.fromiter(map(len, split), np.int64, len(split)) + 2
+        self.hash = _hash([w for ws in split for w in (b"", *ws, b"")])
+        self.doc = np.repeat(np.arange(len(split)), self.lens)
+        self.pos = np.arange(len(self.hash)) - (np.cumsum(self.lens) - self.lens)[self.doc]
+        self.contexts = [np.zeros(len(self.hash), np.uint64)]
+        for _ in range(depth):
+            c = np.zeros(len(self.hash), np.uint64)
+            c[1:] = _chained(self.contexts[-1][:-1], self.hash[:-1])
+            self.contexts.append(c)
+
+    def places(self, k: int, marked: np.ndarray) -> np.ndarray:
+        """Where a context of k words within the text may be in the filter."""
+        at = np.flatnonzero(self.pos >= k)
+        return at[substring.hits(marked, self.contexts[k][at], substring.BITMAP_BITS) == 1]
+
+
+def _count_pairs(k: int, marks):
+    def run(batches):
+        for batch in common.slices(batches, 8 << 20):
+            g = Grams(_training(batch), k)
+            at = g.places(k, marks.value)
+            context, word = g.contexts[k][at], g.hash[at]
+            _, first, times = np.unique(_chained(context, word), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(times)], ["context", "word", "n"])
+
+    return run
+
+
+def _longer(k: int):
+    """Pairs (context of k - 1 words, its suffix, word) as contexts of k words and their suffixes."""
+
+    def run(batches):
+        for batch in batches:
+            context, suffix, word = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "suffix", "word"))
+            below = np.zeros(len(word), np.uint64) if k == 1 else _chained(suffix, word)
+            yield pa.RecordBatch.from_arrays([pa.array(_chained(context, word).view(np.int64)), pa.array(below.view(np.int64))], ["context", "suffix"])
+
+    return run
+
+
+def word_tree(docs: DataFrame, vocab: DataFrame, n_train: int, n_words: int, depth: int = WORD_DEPTH, least: int = LEAST, gain: float = GAIN) -> tuple[DataFrame, DataFrame]:
+    """(context) of every retained context, and (key, v): what pairs and, with word 0, contexts add to a log10 probability."""
+    total = float(n_train + n_words or 1)
+    roots = vocab.select(F.lit(0).cast("long").alias("context"), F.lit(0).cast("long").alias("suffix"), F.xxhash64("word").alias("word"), F.col("c").alias("n"), (F.col("c") / total).alias("p"))
+    levels, tests = [roots], [None]
+    for k in range(1, depth + 1):
+        grown = levels[-1].where(F.col("n") >= least)
+        if k > 1:
+            grown = grown.where(F.col("word") != F.lit(int(_END_HASH.view(np.int64))))  # nothing follows the end
+        contexts = common.stored(grown.select("context", "suffix", "word").mapInArrow(_longer(k), "context long, suffix long"), "contexts")
+        marks = substring.bloom(contexts.select(F.col("context").alias("h")), substring.BITMAP_BITS)
+        pairs = common.stored(docs.mapInArrow(common.tidied(_count_pairs(k, marks)), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")), "pairs")
+        sums = pairs.groupBy("context").agg(F.sum("n").alias("m"), F.count("*").alias("t")).join(contexts, "context")
+        up = levels[-1].select(F.col("context").alias("suffix"), "word", F.col("p").alias("up"))
+        known = pairs.join(sums, "context").join(up, ["suffix", "word"])
+        p = (F.col("n") + F.col("t") * F.col("up")) / (F.col("m") + F.col("t"))
+        levels.append(common.stored(known.select("context", "suffix", "word", "n", "m", "t", F.col("up").cast("float").alias("up"), p.cast("float").alias("p")), "word-level"))
+        common.drop(pairs, contexts)
+        marks.destroy()  # also its copies on the executors' disks
+        rest = F.first("t") / (F.first("m") + F.first("t"))
+        divergence = F.sum(F.col("p") * F.log(F.col("p") / F.col("up"))) + rest * (1 - F.sum("up")) * F.log(rest)
+        tests.append(common.stored(levels[-1].groupBy("context", "suffix").agg((F.round(F.first("m") * divergence, 6) >= gain).alias("own")), "tests"))
+    kept, values = None, []
+    for k in range(depth, 0, -1):  # suffixes of what is retained stay
+        own = tests[k].where("own").select("context", "suffix")
+        if kept is not None:
+            own = own.union(tests[k].join(kept.select(F.col("suffix").alias("context")).distinct(), "context", "left_semi").select("context", "suffix")).distinct()
+        kept = common.stored(own, "retained")
+        rest = F.log10(F.col("t") / (F.col("m") + F.col("t")))
+        rows = levels[k].join(kept.select("context"), "context", "left_semi")
+        values.append(rows.select("context", "word", (F.log10(F.col("p") / F.col("up")) - rest).cast("float").alias("v")))
+        values.append(rows.groupBy("context").agg(F.first(rest).cast("float").alias("v")).select("context", F.lit(0).cast("long").alias("word"), "v"))
+    every = values[0]
+    for v in values[1:]:
+        every = every.union(v)
+    contexts = common.stored(every.where("word = 0").select("context"), "retained-contexts")
+    every = common.stored(every.mapInArrow(_keyed, "key long, v float"), "word-values")
+    common.drop(*levels[1:])
+    return contexts, every
+
+
+def _keyed(batches):
+    for batch in batches:
+        context, word = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "word"))
+        yield pa.RecordBatch.from_arrays([pa.array(_chained(context, word).view(np.int64)), batch.column("v")], ["key", "v"])
+
+
+def _asked(depth: int, marks):
+    """For each chunk: a row without a key that holds its texts' hashes, then one with (place, times) for each pair and context."""
+
+    def run(batches):
+        for i, batch in enumerate(common.slices(batches, 8 << 20)):
+            chunk = TaskContext.get().partitionId() << 24 | i
+            split = list({b" ".join(ws): ws for ws in (t.lower().split() for t in common.texts(batch))}.values())
+            g, found = Grams(split, depth), []
+            for k in range(1, depth + 1):
+                at = g.places(k, marks.value)
+                context = g.contexts[k][at]
+                found += [(context, word, g.doc[at]) for word in (g.hash[at], np.zeros(len(at), np.uint64))]
+            context, word, doc = (np.concatenate(c) for c in zip(*found))
+            code = _chained(context, word)
+            del context, word, found, g
+            order = np.lexsort((doc, code))
+            doc, code = doc[order], code[order]
+            new = np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])] if len(code) else np.zeros(0, bool)
+            at = np.flatnonzero(new)
+            blob = np.stack([doc[at], np.diff(np.r_[at, len(code)])], 1).astype(np.uint32)
+            first = np.flatnonzero(np.r_[True, code[at][1:] != code[at][:-1]]) if len(at) else at
+            edges = (np.r_[first, len(at)] * 8).astype(np.int32)
+            out = lambda c, p: pa.RecordBatch.from_arrays([c, pa.array(np.full(len(c), chunk)), p], ["key", "chunk", "posts"])
+            yield out(pa.array([None], pa.int64()), pa.array([text_hashes(split).tobytes()], pa.binary()))
+            posts = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edges), pa.py_buffer(blob.tobytes())])
+            keys = pa.array(code[at][first].view(np.int64))
+            for a in range(0, len(first), 100_000):
+                yield out(keys.slice(a, 100_000), posts.slice(a, 100_000))
 
     return run
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """Base and model scores of every document."""
+def _added(key, table):
+    lone = table.column("head").to_numpy()
+    hashes = np.frombuffer(table.column("posts")[int(np.flatnonzero(lone)[0])].as_py(), np.int64)
+    rest = table.filter(pa.array(~lone))
+    pairs = np.frombuffer(b"".join(rest.column("posts").to_pylist()), np.uint32).reshape(-1, 2).astype(np.int64)
+    v = np.repeat(rest.column("v").to_numpy(), pa.compute.binary_length(rest.column("posts")).to_numpy() // 8)
+    order = np.argsort(v, kind="stable")  # so that reruns add alike
+    return pa.table([pa.array(hashes), pa.array(np.bincount(pairs[order, 0], (pairs[:, 1] * v)[order], len(hashes)).astype(np.float64))], names=["text_hash", "added"])
+
+
+def added_by_contexts(docs: DataFrame, retained: DataFrame, values: DataFrame, depth: int) -> DataFrame:
+    """(text_hash, added): what the word contexts add to each different text's root score."""
+    marks = substring.bloom(retained.select(F.col("context").alias("h")), substring.BITMAP_BITS)
+    done = []
+    for part in range(PARTS):  # one after the other: each shuffle's files are deleted before the next
+        own = docs.where(F.pmod(F.xxhash64("text"), F.lit(PARTS)) == part)
+        asked = own.mapInArrow(common.tidied(_asked(depth, marks)), "key long, chunk long, posts binary")
+        got = asked.join(values, "key", "left").where("key is null or v is not null").select("chunk", F.col("key").isNull().alias("head"), "posts", "v")
+        each = got.groupBy("chunk").applyInArrow(_added, "text_hash long, added double")
+        done.append(common.stored(each, "added-part"))
+    marks.destroy()
+    every = done[0]
+    for d in done[1:]:
+        every = every.union(d)
+    return common.stored(every.groupBy("text_hash").agg(F.min("added").alias("added")), "added")
+
+
+def scored(docs: DataFrame, depth: int = 0, least: int = LEAST) -> DataFrame:
+    """Base and model scores of every document; the model is the tree over bytes, or with a depth the one over words above it."""
     own = common.id_text(docs)
     model = docs.sparkSession.sparkContext.broadcast(train(own))
     vocab = common.stored(vocabulary(own), "vocabulary")
-    size = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    posts = own.mapInArrow(common.tidied(_postings(model)), "word binary, chunk long, posts binary")
-    counted = posts.join(vocab, "word", "left").select("chunk", F.col("word").isNull().alias("word_missing"), "posts", "c")
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return counted.groupBy("chunk").applyInArrow(_scored(int(size[0]), int(size[1])), kinds)
+    size = [int(x) for x in vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()]
+    if depth:
+        added = added_by_contexts(own, *word_tree(own, vocab, *size, depth, least), depth)
+    posts = own.mapInArrow(common.tidied(_postings(model, depth)), "word binary, chunk long, posts binary")
+    new_word = F.when(F.col("c").isNull(), F.col("word")).alias("new_word")
+    counted = posts.join(vocab, "word", "left").select("chunk", F.col("word").isNull().alias("word_missing"), "posts", "c", new_word)
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, text_hash long"
+    out = counted.groupBy("chunk").applyInArrow(_scored(*size, model, depth), kinds)
+    if depth:
+        out = out.join(added, "text_hash", "left").withColumn("score", F.col("score") + F.coalesce("added", F.lit(0.0))).drop("added")
+    return out.drop("text_hash")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return scored(common.documents(spark, sf_dir))
+    return scored(common.documents(spark, sf_dir), WORD_DEPTH)

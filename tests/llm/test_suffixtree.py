@@ -89,3 +89,66 @@ def test_edge_cases(spark):
     only = [i for i in range(50) if suffixtree.held_out(i)][:2]
     got = suffixtree.scored(spark.createDataFrame([(i, "x y") for i in only], "doc_id long, text string")).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and r.score == pytest.approx(4 * math.log10(1 / 256)) for r in got)
+
+
+def slow_word_model(texts, depth, least, gain, byte_model):
+    """The tree over words from plain dictionaries."""
+    seqs = [[b"", *words(t), b""] for t in texts]
+    counts = {}
+    for s in seqs:
+        for i in range(1, len(s)):
+            for d in range(min(i, depth) + 1):
+                counts.setdefault(tuple(s[i - d : i]), Counter())[s[i]] += 1
+    root = counts.get((), Counter())
+    n, v = sum(root.values()), len(root)
+
+    def p(c, w):
+        if not c:
+            if w in root:
+                return root[w] / (n + v)
+            return 10 ** byte_model.word_scores([w])[0] * (v / (n + v) if n else 1)
+        own = counts[c]
+        m, t = sum(own.values()), len(own)
+        return (own[w] + t * p(c[1:], w)) / (m + t)
+
+    kept = set()
+    for c, own in counts.items():
+        m, t = sum(own.values()), len(own)
+        if c and m >= least:
+            b, seen = t / (m + t), [(p(c, w), p(c[1:], w)) for w in own]
+            if m * (sum(x * math.log(x / y) for x, y in seen) + b * (1 - sum(y for _, y in seen)) * math.log(b)) >= gain:
+                kept |= {c[k:] for k in range(len(c))}
+
+    def score(t):
+        s, out = [b"", *words(t), b""], 0.0
+        for i in range(1, len(s)):
+            d = next((d for d in range(min(i, depth), 0, -1) if tuple(s[i - d : i]) in kept), 0)
+            out += math.log10(p(tuple(s[i - d : i]), s[i]))
+        return out
+
+    return score, kept
+
+
+def test_word_contexts_equal_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()][:60]
+    rows += [(1000, None), (1001, ""), (1002, rows[3][1]), (None, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t for d, t in rows if not suffixtree.held_out(d)]
+    slow, kept = slow_word_model(train, 3, 10, suffixtree.GAIN, suffixtree.train(common.id_text(df)))
+    got = suffixtree.scored(df, 3, 10).collect()
+    assert len(got) == len(rows) and {len(c) for c in kept} == {1, 2, 3}
+    texts = dict(rows)
+    assert all(r.score == pytest.approx(slow(texts[r.doc_id]), rel=1e-6) for r in got)
+    assert suffixtree.scored(table(spark, []), 3).count() == 0
+
+
+def test_word_contexts_grow_with_the_corpus_and_beat_the_byte_tree(spark):
+    kept = []
+    for d in (DATA, "/root/testdata/sf0.01"):
+        own = common.id_text(common.documents(spark, d))
+        vocab = suffixtree.vocabulary(own)
+        n, v = vocab.selectExpr("sum(c)", "count(*)").first()
+        kept.append(suffixtree.word_tree(own, vocab, n, v)[0].count())
+    assert kept[1] > 3 * kept[0] > 0
+    held = lambda df: df.where("held_out").selectExpr("sum(score)").first()[0]
+    assert held(suffixtree.query(spark, d)) > held(suffixtree.scored(common.documents(spark, d)))
