@@ -1,10 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. It matches a template when it holds at least THRESHOLD of the template's distinct words. The words of all
+A block is a line or, as notices are mostly wrapped, a window of consecutive words across line ends, half as many again as the
+template has distinct words. It matches a template when it holds at least THRESHOLD of the template's distinct words. The words of all
 templates are ordered by how often they occur in the corpus, rarest first. A block that matches must hold one of the
 template's first |T| - need + 1 words (prefix filter), at least `need` template words (length filter), and from the places of
 the first common word in both orders enough words must still follow (positional filter). Those that pass are counted
-exactly, so no match is lost. Only the templates and the counts of their words, both of fixed size, reach every task.
+exactly, so no match is lost; windows are counted only around prefix words. Only the templates and the counts of their words, both of fixed size, reach every task.
 
 Beside it, places where fixed phrases stand word by word are found.
 
@@ -65,6 +66,7 @@ class Scanner:
             for place, r in enumerate(ranks[: len(ranks) - need + 1]):
                 self.index.setdefault(r, []).append((len(self.templates), place))
             self.templates.append((name, frozenset(ranks), len(ranks), need))
+        self.words = [frozenset(order[r] for r in ranks) for _, ranks, _, _ in self.templates]
         self.first = frozenset(order[r] for r in self.index)
         self.vocabulary = frozenset(order)
 
@@ -88,6 +90,29 @@ class Scanner:
         return out
 
 
+    def wrapped(self, flat: list[bytes]) -> dict[str, float]:
+        """Template -> containment in the best window of all words, of those that meet the threshold."""
+        at: dict[int, list[int]] = {}
+        for i, w in enumerate(flat):
+            if w in self.first:
+                for t, _ in self.index[self.rank[w]]:
+                    at.setdefault(t, []).append(i)
+        out = {}
+        for t, places in at.items():
+            name, _, size, need = self.templates[t]
+            width, best = size + size // 2, 0
+            for i in places:
+                last: dict[bytes, int] = {}  # where each of the template's words was last seen
+                for j in range(max(0, i - width + 1), min(len(flat), i + width)):
+                    if flat[j] in self.words[t]:
+                        last[flat[j]] = j
+                        if len(last) >= need:
+                            best = max(best, sum(k > j - width for k in last.values()))
+            if best >= need:
+                out[name] = best / size
+        return out
+
+
 _PHRASES = {b" " + p.encode() + b" ": label for p, label in PHRASES.items()}
 
 
@@ -136,6 +161,8 @@ def scan(docs: DataFrame, templates=None, threshold: float = THRESHOLD) -> DataF
                     for block in text.split(b"\n"):
                         for name, c in scanner.matches(block.split()).items():
                             found[name] = max(c, found.get(name, 0.0))
+                    for name, c in scanner.wrapped(flat).items():
+                        found[name] = max(c, found.get(name, 0.0))
                 rows.append((len(flat), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | found.keys())), max(found.values(), default=0.0)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([common.ids(batch), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])

@@ -44,3 +44,30 @@ def test_scan(spark):
     assert (got[3].n_base, got[3].first_word, got[3].last_word, got[3].base_labels) == (3, 0, 5, "cc-by,reserved")
     assert got[0].first_word is None and got[0].base_labels == "" and "mit" in got[2].labels.split(",") and got[5].base_labels == "gpl"
     assert licenses.scan(table(spark, [])).count() == 0
+
+
+def test_wrapped_notices_match_over_line_ends(spark):
+    names, texts = sorted(licenses.TEMPLATES), []
+    for lead in ("", "# ", " * "):
+        for n in names:
+            ws = licenses.TEMPLATES[n].split()
+            half = len(ws) // 2
+            texts.append(f"{lead}before it\n{lead}{' '.join(ws[:half])}\n{lead}{' '.join(ws[half:])}\n{lead}after it")
+    got = {r.doc_id: r for r in licenses.scan(table(spark, texts)).collect()}
+    for i in range(len(texts)):
+        assert got[i].score == 1 and names[i % len(names)] in got[i].labels.split(",")
+
+
+def test_windows_lose_nothing():
+    rng = random.Random(5)
+    sets = {f"t{i}": frozenset(b"w%d" % rng.randrange(30) for _ in range(rng.randrange(2, 14))) for i in range(12)}
+    scanner = licenses.Scanner(sets, {b"w%d" % i: rng.randrange(5) for i in range(25)}, 0.8)
+    for _ in range(300):
+        flat = [b"w%d" % rng.randrange(40) for _ in range(rng.randrange(0, 80))]
+        want = {}
+        for n, t in sets.items():
+            width = len(t) + len(t) // 2
+            c = max(len(set(flat[i : i + width]) & t) / len(t) for i in range(len(flat) + 1))
+            if c >= 0.8 - 1e-12:
+                want[n] = c
+        assert scanner.wrapped(flat) == want
