@@ -243,7 +243,8 @@ def bfs_depths(spark, sf_dir):
     i = F.col("page_id")
     rows = ids.select(name(i).alias("canonical_url"), F.array(name((2 * i + 1) % n), name((2 * i + 2) % n)).alias("links"))
     seeds = ids.where("page_id = 0").select(name(i).alias("canonical_url"), name(i).alias("url"), F.lit("site.example").alias("site"))
-    return crawl(rows, seeds).select("canonical_url", F.col("depth").cast("long").alias("depth"))
+    # every page is reached: neither limit can bind, as each round but the last finds a page
+    return crawl(rows, seeds, max_pages=n + 1, max_rounds=n + 2).select("canonical_url", F.col("depth").cast("long").alias("depth"))
 
 
 QUERIES = {

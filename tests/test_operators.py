@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import urls
 from siteloom.operators import closure, manifest, report
 from siteloom.operators.crawl import crawl
+from siteloom.plans import pages
 from siteloom.sources import corpus, manifest_json
 from siteloom.streaming import captures
 
@@ -98,3 +99,10 @@ def test_sources_and_captures(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("kept_captures").count() == 2
+
+
+def test_bfs_depths_covers_more_pages_than_crawls_do_by_default(spark, tmp_path):
+    n = 10_500
+    spark.range(n).withColumnRenamed("id", "page_id").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {int(r.canonical_url.rsplit("/p", 1)[1]): r.depth for r in pages.bfs_depths(spark, str(tmp_path)).collect()}
+    assert got == {i: (i + 1).bit_length() - 1 for i in range(n)}
