@@ -216,7 +216,7 @@ def pages(data: bytes):
 
 
 def decoded(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per page: (doc_id, page, width, height, samples, bits, pixels, error)."""
+    """One row per page: (doc_id, page, width, height, samples, bits, pixels, error); a file with broken directories gives a single error row."""
 
     def run(batches):
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
@@ -227,8 +227,13 @@ def decoded(files: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                 if data is None:
                     continue
                 try:
-                    rows = [(doc, p.page, p.width, p.height, p.samples, p.bits, p.pixels, None) for p in pages(data)]
-                except Broken as e:
+                    for k, (order, tags) in enumerate(directories(data)):
+                        try:
+                            p = _page(data, order, tags, k)
+                            rows.append((doc, p.page, p.width, p.height, p.samples, p.bits, p.pixels, None))
+                        except Broken as e:
+                            rows.append((doc, k, *[None] * 5, str(e)))
+                except Broken as e:  # of the directories
                     rows = [(doc, *[None] * 6, str(e))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)

@@ -163,3 +163,15 @@ def test_text_edge_cases(spark):
     assert got[2].media_sha256 == got[4].media_sha256 and got[2].feature == got[4].feature
     assert tiff.decoded(media).where("doc_id = 3").count() == 2 == int(got[3].feature.split("p")[0])
     assert tiff.features(tiff.stored_texts(table(spark, []))).count() == 0
+
+
+def test_a_broken_page_leaves_the_others(spark):
+    data = bytearray(tiff.encoded(bytes(range(192)) * (2 * tiff.PAGE_ROWS + 5)))
+    want = list(tiff.pages(bytes(data)))
+    assert len(want) == 3
+    at = struct.unpack_from("<I", data, 4)[0]
+    at = struct.unpack_from("<I", data, at + 2 + 12 * struct.unpack_from("<H", data, at)[0])[0]
+    entry = next(at + 2 + 12 * k for k in range(struct.unpack_from("<H", data, at)[0]) if struct.unpack_from("<H", data, at + 2 + 12 * k)[0] == tiff.COMPRESSION)
+    struct.pack_into("<H", data, entry + 8, 7)  # JPEG
+    got = tiff.decoded(spark.createDataFrame([(5, data)], "doc_id long, media binary")).collect()
+    assert [(r.page, bytes(r.pixels) if r.pixels is not None else None, r.error) for r in got] == [(0, want[0].pixels, None), (1, None, "compression 7"), (2, want[2].pixels, None)]
