@@ -1,10 +1,11 @@
-"""Whole texts to token ids with the tokenizers library, remembering the ids of each piece.
-
-A byte-level tokenizer cuts a text into pieces by a pattern and encodes each piece by itself. The pattern is applied here to
-texts of ASCII and Latin characters, on which libraries agree what a letter is, and every piece that a worker has not met
-goes through the library once. In other texts the parts between single spaces go to the library whole; a piece always
-starts at such a space. The memory of pieces is bounded; what
-has not been used for long goes.
+"""Whole texts to token ids with the tokenizers library, remembering the ids of each part.
+
+A byte-level tokenizer cuts a text into pieces by a pattern and encodes each piece by itself. Some places are always between
+two pieces: white space after a character that is none, an ASCII character that is no letter after a Latin letter, and what
+follows a lone line end. All texts of a batch are cut at those places at once, Arrow looks the parts up in a memory of known ones,
+and the library encodes each part that is new. Not every such place is cut: wherever libraries may differ on a character, the part
+just stays longer. A text that holds one of the tokenizer's added tokens goes to the library whole. The memory of parts is
+bounded: when it is full, it starts again from the new parts at hand.
 """
 
 from __future__ import annotations
@@ -13,19 +14,23 @@ import os
 import re
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces remembered by a worker; about 150 bytes each.
+#: Parts remembered by a worker; about 30 bytes each, and as much again while they are looked up.
 REMEMBERED = 600_000
-_NEAR = re.compile(r"\s | \s")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Characters beyond Latin, and ASCII ones on which libraries differ whether they are white space.
-_ODD = re.compile(r"[\x1c-\x1f\u0250-\U0010ffff]")
-#: The pre-tokenizer's pattern, on ASCII and in general.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_PRINTABLE = re.compile(r" ?[!-~]+")
+#: Longest part that is remembered, in bytes.
+LONGEST = 64
+#: Parts that are one piece of letters: ASCII ones and U+00C0 to U+024F but for the two signs among them, in UTF-8.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
+#: The visible characters by which byte-level vocabularies write bytes: printable ones stand for themselves, others follow from U+0100 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = "".join(chr(b if b in _SELF else 256 + sum(x not in _SELF for x in range(b))) for b in range(256))
+
+#: Classes of bytes: white space, ASCII letters, other printable ASCII, bytes beyond ASCII; 0 for control characters.
+_SPACE, _LETTER, _OTHER, _HIGH = 1, 2, 4, 8
+_CLASS = np.array([_SPACE if b == 32 or 9 <= b <= 13 else _HIGH if b > 127 else 0 if b < 32 or b == 127 else _LETTER if chr(b).isalpha() else _OTHER for b in range(256)], np.uint8)
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -34,52 +39,101 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class _Memory(dict):
-    """Values by key, in two generations: when the young one is full, the old one goes, but for what is used again."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most // 2, {}
-
-    def __missing__(self, key):
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        if len(key) < 64:
-            self[key] = out
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Which bytes begin a part."""
+    kind = _CLASS[raw]
+    out = np.zeros(len(raw), bool)
+    if not len(raw):
         return out
+    out[0] = True
+    before, now = kind[:-1], kind[1:]
+    out[1:] = ((now == _SPACE) & (before & (_LETTER | _OTHER) != 0)) | ((now == _OTHER) & (before == _LETTER))
+    at = np.flatnonzero((before == _HIGH) & (now & (_SPACE | _OTHER) != 0)) + 1
+    if len(at):  # after a character beyond ASCII: before a space, if it can't be white space itself; else, if it is a Latin letter
+        lead, last = raw[at - 2], raw[at - 1]
+        latin = (lead >= 0xC3) & (lead <= 0xC8) & ((lead != 0xC3) | ((last != 0x97) & (last != 0xB7)))
+        out[at] = np.where(kind[at] == _SPACE, ~np.isin(lead, (0xC2, 0x80, 0x81, 0x9A)), latin)
+    at = np.flatnonzero(raw[1:-1] == 10) + 2  # after a line end between two visible ASCII characters
+    visible = _LETTER | _OTHER
+    out[at[(kind[at - 2] & visible != 0) & (kind[at] & visible != 0)]] = True
+    return out
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces = _Memory(self._piece, REMEMBERED)
-
-    def _ids(self, s: str) -> bytes:
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _piece(self, s: str) -> bytes:
-        if _PRINTABLE.fullmatch(s):  # bytes that stand for themselves, but for the space
-            return np.array([t.id for t in self.tokenizer.model.tokenize(s.replace(" ", "\u0120"))], np.uint32).tobytes()
-        return self._ids(s)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.most = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.parts, self.ids, self.ends = pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, part: bytes) -> list[int]:
+        return self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
+
+    def _new(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that are not remembered, in a row, and how many each has."""
+        word, tokenize, ids, ends = _WORD.fullmatch, self.tokenizer.model.tokenize, [], [0]
+        plain = [word(part) is not None for part in parts]
+        shown = iter(b"\n".join(p for p, w in zip(parts, plain) if w).decode("latin-1").translate(_VISIBLE).split(_VISIBLE[10]))
+        for part, w in zip(parts, plain):
+            ids += [t.id for t in tokenize(next(shown))] if w else self._whole(part)
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(ends)
+
+    def _codes(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each part its place in a store: places, the store's ids, and where each place's ids end (from a 0 on)."""
+        found = pc.index_in(parts, value_set=self.parts)
+        ids, ends = self.ids, self.ends
+        code = found.fill_null(-1).to_numpy().astype(np.int64)
+        lost = np.flatnonzero(code < 0)
+        if len(lost):
+            new = parts.take(pa.array(lost)).dictionary_encode()
+            more, size = self._new(new.dictionary.to_pylist())
+            code[lost] = len(self.parts) + new.indices.to_numpy()
+            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + np.cumsum(size)])
+            short = pc.binary_length(new.dictionary).to_numpy() <= LONGEST
+            if len(self.parts) + short.sum() > self.most:
+                self._forget()
+            if short.sum() <= self.most:
+                self.parts = pa.concat_arrays([self.parts, new.dictionary.filter(pa.array(short))])
+                self.ids = np.concatenate([self.ids, more[np.repeat(short, size)]])
+                self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size[short])])
+        return code, ids, ends
+
+    def encode_all(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each with the end id behind it, and how many each has."""
+        blob = b"".join(texts)
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(lens) - lens
+        raw = np.frombuffer(blob, np.uint8)
+        begins = _cuts(raw)
+        begins[starts[lens > 0]] = True
+        for i in [i for i, t in enumerate(texts) if any(a in t for a in self.added)] if any(a in blob for a in self.added) else ():
+            begins[starts[i] + 1 : starts[i] + lens[i]] = False
+        at = np.flatnonzero(begins)
+        edges = pa.py_buffer(np.r_[at, len(raw)].astype(np.int32))
+        code, store, place = self._codes(pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, edges, pa.py_buffer(blob)]))
+        size, source = np.diff(place), place[:-1][code]
+        each = size[code]
+        owner = np.searchsorted(at, starts)  # the first part of each text
+        if end is not None:  # one more place after the last part of each text
+            store = np.append(store, np.uint32(end))
+            last = np.r_[owner[1:], len(at)]
+            each, source = np.insert(each, last, 1), np.insert(source, last, len(store) - 1)
+            owner = owner + np.arange(len(texts))
+        ends = np.cumsum(each)
+        ids = store[np.repeat(source - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+        place = np.r_[0, ends][np.r_[owner, len(each)]]
+        return ids, np.diff(place)
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if text.isascii() and not _ODD.search(text):
-            return b"".join(map(self.pieces.__getitem__, _ASCII.findall(text)))
-        if not _ODD.search(text):
-            return b"".join(map(self.pieces.__getitem__, _LATIN.findall(text)))
-        first, *rest = _CUT.split(text) if _NEAR.search(text) else text.split(" ")
-        return b"".join([self._ids(first) if first else b"", *map(self._part, [" " + x for x in rest])])
-
-    def _part(self, s: str) -> bytes:
-        return self._ids(s) if _ODD.search(s) else b"".join(map(self.pieces.__getitem__, _LATIN.findall(s)))
+        """The ids of one text as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text.encode()])[0].tobytes()
 
 
 _encoders: dict[str, Encoder] = {}

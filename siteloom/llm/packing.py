@@ -2,11 +2,14 @@
 
 A document of more than `capacity` tokens is cut into full pieces, the first taking the remainder. Items are dealt by hash
 into groups of about PER_GROUP, and each group is packed on its own: an item goes where the squared counts of open bins per
-residual gap become smallest, a new bin included. Groups are dealt by hash, so every one sees the lengths of the whole and
-wastes a few sequences at most; nothing grows in one task, and hot sources do not matter.
-
-Nulls: a null text is empty and has the end token alone; a null doc_id is packed like any other. Repeated rows are packed
-as often as they occur. An empty table gives an empty result.
+residual gap become smallest, a new bin included. Afterwards the worst filled bins are taken apart and packed again, by best fit,
+where that saves bins. Groups are dealt by hash, so every one sees the lengths of the whole and wastes a sequence or so; nothing
+grows in one task, and hot sources do not matter.
+
+Nulls: a null text is empty and has the end token alone; a null doc_id is packed like any other. Repeated rows and rows of one
+doc_id are packed as often as they occur, each by itself, and dealt by their place in the table too. Very long texts are encoded whole,
+a slice of the batch each. Equal lengths are ties, settled by doc_id, piece and checksum. Extra columns, whatever their names, are not
+looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,13 +37,13 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _pieces(path: str, end: int, capacity: int):
     def run(batches):
-        encode = encoding.encoder(path).encode
-        tail = np.array([end], np.uint32).tobytes()
+        encoder = encoding.encoder(path)
         for batch in common.slices(batches):
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text) + tail
-                rows += [(doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cuts(len(ids) // 4, capacity))]
+            ids, lens = encoder.encode_all(common.texts(batch), end)
+            raw, docs, rows, at = memoryview(ids.view(np.uint8)), batch.column("doc_id").to_pylist(), [], 0
+            for doc, n in zip(docs, lens.tolist()):
+                rows += [(doc, k, s, m, zlib.crc32(raw[4 * (at + s) : 4 * (at + s + m)])) for k, (s, m) in enumerate(cuts(n, capacity))]
+                at += n
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -76,13 +79,60 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets, made
 
 
+def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
+    """As sum_of_squares(), but every item goes where the least is left."""
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    open_ = np.zeros(capacity + 1, bool)
+    bins, offsets, made = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
+    for i, n in enumerate(lengths.tolist()):
+        gap = n + int(open_[n:].argmax())
+        if open_[gap]:
+            b = stacks[gap].pop()
+            open_[gap] = bool(stacks[gap])
+        else:
+            gap, b, made = capacity, made, made + 1
+        bins[i], offsets[i] = b, capacity - gap
+        if gap > n:
+            stacks[gap - n].append(b)
+            open_[gap - n] = True
+    return bins, offsets, made
+
+
+def repaired(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, made: int, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
+    """Takes the worst filled bins apart and packs their items again, longest first, wherever that saves bins.
+
+    Twice as many are taken each time, the emptiest first and half of all bins at most; the best of these packings stays.
+    """
+    gaps = capacity - np.bincount(bins, lengths, made).astype(np.int64)
+    order = np.argsort(-gaps, kind="stable")
+    order = order[: max((gaps > 0).sum(), made // 2)] if gaps.any() else order[:0]
+    best, out, k = 0, (bins, offsets, made), 32
+    while len(order):
+        chosen = np.zeros(made, bool)
+        chosen[order[:k]] = True
+        items = np.flatnonzero(chosen[bins])
+        items = items[np.argsort(-lengths[items], kind="stable")]
+        again, place, n = best_fit(lengths[items], capacity)
+        if chosen.sum() - n > best:
+            best = int(chosen.sum() - n)
+            names = np.cumsum(~chosen) - 1
+            new, at = names[bins], offsets.copy()
+            new[items], at[items] = made - chosen.sum() + again, place
+            out = new, at, made - best
+        if k >= len(order):
+            break
+        k *= 2
+    return out
+
+
 def _pack(capacity: int):
     def run(key, table):
         g = key[0].as_py()
         # longest first; ids, pieces and checksums settle ties
         order = np.lexsort([table.column(c).to_numpy() for c in ("ids_crc32", "piece")] + [np.asarray(table.column("doc_id").fill_null(-1)), -table.column("length").to_numpy()])
         table = table.take(pa.array(order))
-        bins, offsets, _ = sum_of_squares(table.column("length").to_numpy(), capacity)
+        lengths = table.column("length").to_numpy()
+        bins, offsets, _ = repaired(lengths, *sum_of_squares(lengths, capacity), capacity)
         return table.drop(["g"]).append_column("sequence_id", pa.array((g << 32) + bins)).append_column("offset", pa.array(offsets))
 
     return run
@@ -91,7 +141,7 @@ def _pack(capacity: int):
 def packed(parts: DataFrame, capacity: int = CAPACITY, per_group: int = PER_GROUP) -> DataFrame:
     """Stored pieces with sequence_id and offset."""
     groups = max(1, -(-parts.count() // per_group))
-    dealt = parts.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    dealt = parts.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     return dealt.groupBy("g").applyInArrow(_pack(capacity), PIECES + ", sequence_id long, offset long")
 
 
