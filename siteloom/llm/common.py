@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -22,16 +23,26 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder; on a cluster, executors would not share it.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="siteloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_made: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/siteloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/siteloom/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
 
 
 @contextlib.contextmanager
@@ -57,14 +68,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made.discard(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for t in tables:
         path = getattr(t, "_scratch_path", None)
         if path:
-            spark = t.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(t.sparkSession, path)
+
+
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Deletes every table that this process has stored, but for some. For callers that have used an operator's result up."""
+    stay = {getattr(t, "_scratch_path", None) for t in keep}
+    for path in [p for p in _made if p not in stay]:
+        _delete(spark, path)
+
+
+@atexit.register
+def _sweep_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _made:
+        with contextlib.suppress(Exception):  # the session may be gone
+            sweep(spark)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that a table does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,10 +205,10 @@ class Words:
         self.pos = np.arange(len(flat)) - self.start[self.doc]
         self.left = self.lens[self.doc] - self.pos  # words from here to the end of the text
 
-    def windows(self, at: np.ndarray, width: int) -> np.ndarray:
+    def windows(self, at: np.ndarray, width: int, seed: int | None = None) -> np.ndarray:
         """Hash of the width words from each place in at (which must have so many words left)."""
         out = np.zeros(len(at), np.uint64)
-        for j, m in enumerate(multipliers(width, seed=width)):
+        for j, m in enumerate(multipliers(width, seed=width if seed is None else seed)):
             out += self.hash[at + j] * m
         return mix64(out)
 

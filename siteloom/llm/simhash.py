@@ -6,8 +6,16 @@ first, one at most in the first two, two in all three. One side therefore announ
 the second one changed in no or one bit; the other looks these 43-bit keys up, and only those meet the full Hamming check.
 Keys are that long because short ones (one segment) fill up as the corpus grows.
 
+The pipeline's stage takes texts for near copies whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+Their fingerprints differ in up to some 20 bits, for which no ring of 64 bits gives keys long enough; so beside the links above,
+the stage takes candidates from min-wise bands: each text meets the smallest fingerprint of each of its bands, pairs whose
+chains on a ring of eight segments break their budgets (or whose whole distance does) go, and those left are compared exactly.
+Links of both kinds make up the groups.
+
 Nulls: a null text counts as empty (fingerprint zero); a null doc_id takes part but never names a component unless the
-component has no other. Repeated rows: each gets its row. An empty table gives an empty result.
+component has no other. Repeated rows and rows of one doc_id with other texts: each gets its row by its own text. Ties in doc_id:
+the smaller hash of the text. Very long texts are read whole. Extra columns, whatever their names, pass through the stage. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -25,37 +33,80 @@ SHINGLE = 3
 #: First bit and width of the three segments of the ring.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 2
+#: The stage: words of a shingle, least similarity, bands of so many min-wise values, and the ring on which candidates are pruned.
+NEAR_SHINGLE, NEAR = 5, 0.8
+BANDS, ROWS = 12, 4
+NEAR_SEGMENTS, NEAR_BITS = 8, 24
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Bit by bit the majority of the shingles' XXH64; a text of fewer words is one shingle, an empty one gives zero."""
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the shingles in order, repeats included; a text of fewer words is one shingle, an empty one has none."""
     words = text.lower().split()  # bytes.lower() changes A-Z alone
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = len(words) - shingle + 1
     if n <= 1:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: n - 1].tolist()]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """A fingerprint: bit by bit, whether over half of the hashes have it set; zero for none."""
+    if len(h) <= 1:
+        return int(h[0]) if len(h) else 0
     ones = np.zeros(64, np.int64)
-    for a in range(0, n, 65535):  # so many at once that 16-bit sums hold
+    for a in range(0, len(h), 65535):  # so many at once that 16-bit sums hold
         bits = np.unpackbits(h[a : a + 65535].view(np.uint8), bitorder="little")
         ones += bits.reshape(-1, 64).sum(0, dtype=np.uint16)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return majority(shingles(text, shingle))
+
+
+_TIMES = common.multipliers(BANDS * ROWS, seed=6)
 
 
-def _fingerprints(batches):
-    for batch in common.slices(batches):
-        fp = np.array([fingerprint(t) for t in common.texts(batch)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([common.ids(batch), pa.array(fp)], ["doc_id", "fp"])
+def bands(h: np.ndarray) -> list[int]:
+    """Keys that two texts share the likelier the more shingles they share: each of ROWS min-wise values."""
+    if not len(h):
+        return []
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(h), 4096):
+        part = h[a : a + 4096, None] * _TIMES
+        np.minimum(low, (part ^ (part >> np.uint64(32))).min(0), out=low)
+    rows = low.reshape(BANDS, ROWS)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        out = common.mix64(out * _TIMES[0] + rows[:, k])
+    return out.view(np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for every row."""
-    return common.id_text(docs).mapInArrow(common.tidied(_fingerprints), "doc_id long, fp long")
+def _fingerprints(shingle: int, banded: bool):
+    def run(batches):
+        for batch in common.slices(batches):
+            hashes = [shingles(t, shingle) for t in common.texts(batch)]
+            fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            keys = pa.array([bands(h) if banded else [] for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([common.ids(batch), batch.column("h"), pa.array(fp), keys], ["doc_id", "h", "fp", "bands"])
+
+    return run
+
+
+def text_hash(text):
+    """What tells rows of one doc_id apart: a hash of the text, null counting as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, banded: bool = False) -> DataFrame:
+    """(doc_id, h, fp long, bands) for every row; h is the text's hash."""
+    own = common.id_text(docs).withColumn("h", F.xxhash64("text"))
+    return own.mapInArrow(common.tidied(_fingerprints(shingle, banded)), "doc_id long, h long, fp long, bands array<long>")
 
 
 def _segment(fp, k: int):
@@ -81,6 +132,8 @@ def links(distinct: DataFrame) -> DataFrame:
         return [0, *(1 << j for j in range(SEGMENTS[(k + 1) % 3][1]))]
 
     fp = F.col("fp")
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = distinct.select("fp").repartition(n)  # each row becomes many
     probes = distinct.select(fp.alias("a"), F.explode(F.array(*(key(fp, k, F.lit(x)) for k in range(3) for x in flips(k)))).alias("key"))
     homes = distinct.select(fp.alias("b"), F.explode(F.array(*(key(fp, k, F.lit(0)) for k in range(3)))).alias("key"))
     a, b = F.col("a"), F.col("b")
@@ -90,24 +143,93 @@ def links(distinct: DataFrame) -> DataFrame:
     return probes.join(homes, "key").where(near).select("a", "b")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def _component(fps: DataFrame, near=None) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) of every fingerprint, and fingerprints with their first row: (fp, missing, rep, h)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("rep"), F.col("h")))
+    reps = common.stored(fps.groupBy("fp").agg(first.alias("first")).select("fp", "first.*"), "fp-reps")
+    found = links(reps)
+    if near is not None:
+        found = found.union(near(reps))
+    roots = common.components(found, "fp-links").withColumnsRenamed({"node": "fp"})
+    return reps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "missing", "rep", "h"), reps
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links of two bits or fewer reach."""
-    fps = common.stored(fingerprints(docs), "fp")
-    reps = common.stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp-reps")
-    roots = common.components(links(reps), "fp-links").withColumnsRenamed({"node": "fp"})
-    rooted = reps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    fps = common.stored(fingerprints(docs, shingle).drop("bands"), "fp")
+    rooted, _ = _component(fps)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _ring(a, b, segments: int = NEAR_SEGMENTS, budget: int = NEAR_BITS):
+    """Whether two fingerprints are within the budget, and from some segment on every chain is within its share of it."""
+    width = 64 // segments
+    apart = a.bitwiseXOR(b)
+    diff = [F.bit_count(F.shiftrightunsigned(apart, k * width).bitwiseAND(F.lit((1 << width) - 1))) for k in range(segments)]
+    starts = []
+    for k in range(segments):
+        chain, ok = F.lit(0), F.lit(True)
+        for n in range(1, segments + 1):
+            chain = chain + diff[(k + n - 1) % segments]
+            ok = ok & (chain * segments <= n * budget)
+        starts.append(ok)
+    some = starts[0]
+    for x in starts[1:]:
+        some = some | x
+    return (F.bit_count(apart) <= budget) & some
+
+
+def _similar(least: float, shingle: int):
+    """Pairs of texts whose sets of shingles are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            for part in common.slices([batch], text="ta"):
+                keep = []
+                for x, y in zip(common.texts(part, "ta"), common.texts(part, "tb")):
+                    x, y = (np.unique(shingles(t, shingle)) for t in (x, y))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both >= least * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def near_links(docs: DataFrame, fps: DataFrame, reps: DataFrame, least: float = NEAR, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """Pairs (a, b) of fingerprints whose first texts are similar: each text is compared with the first one of each of its bands."""
+    keys = common.stored(fps.select("fp", F.explode("bands").alias("key")).distinct(), "bands")
+    first = common.stored(keys.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a < most").select("key", "a"), "first-of-bands")
+    pairs = keys.join(first, "key").where("fp > a").select("a", F.col("fp").alias("b")).distinct()
+    pairs = common.stored(pairs.where(_ring(F.col("a"), F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > MAX_BITS)), "near-pairs")
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    named = reps.join(ends, "fp").select("fp", F.col("rep").alias("doc_id"), "h")
+    own = common.id_text(docs).withColumn("h", F.xxhash64("text"))
+    texts = own.join(named.hint("merge"), own["doc_id"].eqNullSafe(named["doc_id"]) & (own["h"] == named["h"])).groupBy("fp").agg(F.min("text").alias("text"))
+    texts = common.stored(texts, "near-texts")
+    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+    out = common.stored(both.select("a", "b", "ta", "tb").mapInArrow(common.tidied(_similar(least, shingle)), "a long, b long"), "near-links")
+    common.drop(keys, first, pairs, texts)
+    return out
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     g = groups(common.documents(spark, sf_dir))
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; of repeated rows with that id, one."""
-    own = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = common.stored(own.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "fp-keep")
-    kept = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if keep.where("_n > 1").limit(1).count() else kept
+    """One row of each group of near copies stays: the one of the smallest doc_id, then of the smallest hash of its text.
+
+    Rows without a doc_id come last; of rows alike in doc_id and text, one stays. All others go whatever ids they share.
+    """
+    fps = common.stored(fingerprints(docs, NEAR_SHINGLE, True), "fp")
+    rooted, _ = _component(fps, lambda reps: near_links(docs, fps, reps))
+    first = rooted.groupBy("root").agg(F.min(F.struct("missing", "rep", "h")).alias("first")).select("first.rep", "first.h")
+    keys = [common.fresh(docs, k) for k in ("own_id", "own_missing", "own_text")]
+    row = lambda doc_id, h: [c.alias(k) for c, k in zip((F.coalesce(doc_id.cast("long"), F.lit(0)), doc_id.isNull(), h), keys)]
+    keep = common.stored(first.select(*row(F.col("rep"), F.col("h"))), "fp-keep")
+    kept = docs.select("*", *row(docs["doc_id"], text_hash(docs["text"]))).join(keep.hint("merge"), keys)
+    nth = common.fresh(kept, "nth")
+    kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(keys[0]))).where(F.col(nth) == 1)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

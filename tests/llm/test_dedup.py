@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -72,16 +73,79 @@ def test_links_lose_no_pair(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def slow_near(rows, least=0.8):
+    """Component of each row: five-word shingles alike to 0.8 or more, or fingerprints of them within two bits."""
+    def shingles(t):
+        ws = [w for w in re.split("[ \t-\r]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w]
+        return [" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))] if ws else []
+
+    def bits(sh):
+        hs = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in sh]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    lists = [shingles(t) for _, t in rows]
+    sets, fps = [set(x) for x in lists], [bits(x) for x in lists]
+    holders = defaultdict(list)
+    for i, x in enumerate(sets):
+        for y in x:
+            holders[y].append(i)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in {j for y in x for j in holders[y] if j < i} | {j for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2}:
+            both = len(x & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 2 or both >= least * (len(x) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
 def test_simhash_stage_keeps_one_of_each_group(spark):
     base = " ".join(f"w{i}" for i in range(300))
-    df = table(spark, [base, base, "quite another text of words", base + " more"], first=7)
+    texts = [base, base, "quite another text of words", base + " more", base.replace("w40 ", "x ").replace("w200 ", "y ")]
+    df = table(spark, texts, first=7)
     kept = simhash.stage(spark, df.union(df), "")
     assert kept.columns == df.columns
-    groups = {c for _, c in slow_groups([(7 + i, t) for i, t in enumerate([base, base, "quite another text of words", base + " more"])]).values()}
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(groups)
-
-
-def slow_substring(rows, width=13):
+    assert sorted(r.doc_id for r in kept.collect()) == [7, 9]
+
+
+def test_simhash_stage_finds_near_copies(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        ws = [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(rng.choice((60, 200, 900)))]
+        rows.append(ws)
+        for _ in range(rng.randrange(4)):
+            new = list(ws)
+            for _ in range(len(ws) // rng.choice((60, 100))):
+                new[rng.randrange(len(new))] = "changed"
+            rows.append(new)
+    rows = list(enumerate(" ".join(ws) for ws in rows))
+    rng.shuffle(rows)
+    roots = slow_near(rows)
+    want = {min(d for (d, _), x in zip(rows, roots) if x == r) for r in set(roots)}
+    assert len(want) < len(rows)
+    got = [r.doc_id for r in simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_simhash_stage_loses_no_row_without_an_id_or_with_anothers(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(None, a), (None, b), (None, c), (5, a + " tail"), (5, " ".join(f"d{i}" for i in range(80))), (6, b), (None, "alone"), (None, "alone")]
+    df = spark.createDataFrame([(d, t, i, i, i, i, "x") for i, (d, t) in enumerate(rows)], "doc_id long, text string, rep int, h int, own_id int, own_text int, nth string")
+    kept = simhash.stage(spark, df, "")
+    assert kept.schema == df.schema
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, c), (5, a + " tail"), rows[4], (6, b), (None, "alone")], key=str)
+    empty = simhash.stage(spark, df.limit(0), "")
+    assert empty.schema == df.schema and empty.count() == 0
+
+
+def slow_substring(rows, width=13, by_row=False):
     first = {}
     for d, t in sorted((d, t) for d, t in rows if d is not None and t):
         ws = t.encode().split()
@@ -94,7 +158,7 @@ def slow_substring(rows, width=13):
         for i in range(len(ws) - width + 1):
             if d is not None and first[tuple(ws[i : i + width])] < d:
                 gone.update(range(i, i + width))
-        out[d] = (len(ws), len(gone), hashlib.sha256(b" ".join(w for i, w in enumerate(ws) if i not in gone)).hexdigest())
+        out[(d, t) if by_row else d] = (len(ws), len(gone), hashlib.sha256(b" ".join(w for i, w in enumerate(ws) if i not in gone)).hexdigest())
     return out
 
 
@@ -130,3 +194,37 @@ def test_substring_repeated_rows_nulls_and_stage(spark):
     assert kept.schema == both.schema
     assert sorted((r.doc_id, r.text) for r in kept.distinct().collect() if r.doc_id is not None) == [(0, passage), (1, "new  words end"), (3, None), (4, "short")]
     assert substring.digests(table(spark, [])).count() == 0
+
+
+def test_substring_rows_that_share_an_id_keep_their_own_words(spark):
+    a, tail = " ".join(f"a{i}" for i in range(20)), " ".join(f"t{i}" for i in range(30))
+    rows = [(1, a), (5, f"{a} {tail}"), (5, f"b {' '.join(f'b{i}' for i in range(60))}"), (5, None), (None, a), (7, tail)]
+    df = spark.createDataFrame([(d, t, i, "x", 1, 2, 3) for i, (d, t) in enumerate(rows)], "doc_id long, text string, at int, _id string, own_runs int, own_id int, t int")
+    want = slow_substring(rows, by_row=True)
+    got = sorted((r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(df).collect())
+    assert got == sorted(want.values()) and want[rows[2]][1] == 0
+    out = substring.stage(spark, df, "")
+    assert out.schema == df.schema
+    left = {(r.doc_id, r.text) for r in out.collect()}
+    assert left == {(1, a), (5, tail), rows[2], (5, None), (None, a)}
+
+
+def test_windows_whose_first_hash_collides_stay_apart(spark, monkeypatch):
+    """With a first hash that is the same for all windows, the second one still tells them apart."""
+    real = substring.common.Words.windows
+    batch = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(40)), 1), (2, " ".join(f"b{i}" for i in range(40)) + " " + " ".join(f"a{i}" for i in range(20)), 2)], "doc_id long, text string, t long").toArrow().to_batches()
+
+    class All:
+        value = substring.np.full(1 << 14, substring.np.iinfo(substring.np.uint64).max, substring.np.uint64)
+
+    monkeypatch.setattr(substring.common.Words, "windows", lambda self, at, width, seed=None: substring.np.zeros(len(at), substring.np.uint64) if width == 13 and seed is None else real(self, at, width, seed))
+    rows = [r for b in substring._candidates(13, 20, All)(batch) for r in b.to_pylist()]
+    assert {r["h"] for r in rows} == {0}
+    by = defaultdict(set)
+    for r in rows:
+        by[r["g"]].add(r["doc_id"])
+    assert sum(len(x) == 2 for x in by.values()) == 8
+
+
+def test_filter_follows_the_count():
+    assert [substring.filter_bits(n) for n in (0, 1 << 10, 1 << 20, 1 << 40)] == [20, 20, 25, 30]

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from siteloom.llm import common, packing, quality
 
-from .test_dedup import DATA, slow_groups, slow_substring
+from .test_dedup import DATA, slow_near, slow_substring
 from .test_mixing import slow_targets
 
 
@@ -23,8 +23,11 @@ def test_stages_do_what_brute_force_does(spark):
     assert {r.doc_id for r in left["quality_rules"]} == kept and all(r == every[r.doc_id] for r in left["quality_rules"])
     assert 0 < len(kept) < len(every)
 
-    groups = slow_groups([(r.doc_id, r.text) for r in left["quality_rules"]])
-    assert sorted(r.doc_id for r in left["simhash_near_dedup"]) == sorted({c for _, c in groups.values()})
+    rows = [(r.doc_id, r.text) for r in left["quality_rules"]]
+    first = {}
+    for (d, _), root in zip(rows, slow_near(rows)):
+        first[root] = min(d, first.get(root, d))
+    assert sorted(r.doc_id for r in left["simhash_near_dedup"]) == sorted(first.values())
     assert all(r == every[r.doc_id] for r in left["simhash_near_dedup"])
 
     want = slow_substring([(r.doc_id, r.text) for r in left["simhash_near_dedup"]])
