@@ -4,16 +4,20 @@ Positions of a document are taken modulo 7, and anchors of 7 words are hashed at
 residues have every difference modulo 7, so wherever two documents share 13 words, some offset below 7 is an anchor
 position in both, and the anchor lies within the 13 words. Three passes:
 
-1. Anchors are counted (pre-aggregated in each slice); those seen twice set bits of a Bloom filter of fixed size.
-2. A window of 13 words that holds such an anchor is a candidate. Its hash is extended to all 13 words, and the smallest
-   doc_id of each window hash is found. The filter only prunes: a false hit costs a row and changes no result.
-3. Windows seen in a smaller doc_id come back to their document as runs of covered words, which it drops.
+1. Anchors are counted (pre-aggregated in each slice); those seen twice set bits of a Bloom filter that has 16 bits for each
+   of them, up to 2^30 bits.
+2. A window of 13 words that holds such an anchor is a candidate. Its hash of 96 bits is extended to all 13 words, and the smallest
+   doc_id of each window hash is found. The filter only prunes: a false hit costs a row and changes no result, so a filter that
+   is full makes more candidates (every window at most) and loses none.
+3. Windows seen in a smaller doc_id come back to their row as runs of covered words, which it drops.
 
 Hot passages: every aggregation is combined before its shuffle, and the window join is an equi-join that adaptive
-execution can split. Window hashes have 64 bits.
+execution can split. With 96 bits, 10^13 windows have a false match with a chance of one in a thousand.
 
 Nulls: a null text has no words; rows with a null doc_id neither lose words nor make others lose any. Repeated rows have
-one doc_id, so they do not remove each other. An empty table gives an empty result.
+one doc_id, so they do not remove each other. Rows of one doc_id with other texts are told apart by 34 bits of their text's hash, and each loses its
+own words; ties in doc_id remove nothing. Very long texts are read whole. Extra columns, whatever their names, pass through the
+stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +35,8 @@ from . import common
 WINDOW = 13
 #: Difference covers: period -> residues with all differences modulo the period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3)}
-BITMAP_BITS = 27
+#: Bits of a Bloom filter: as many as its entries times PER_ENTRY, at least and at most so many (as powers of two).
+LEAST_BITS, BITMAP_BITS, PER_ENTRY = 20, 30, 16
 HASHES = 2
 
 
@@ -63,25 +68,36 @@ def _count_anchors(window: int):
 
 
 def _slots(h, bits: int, k: int):
-    """The k-th place of a hash in the bitmap: its top bits, then those below (a Column or numpy values)."""
+    """The k-th place of a hash in the bitmap: its top bits, then its lower ones (a Column or numpy values)."""
     if isinstance(h, np.ndarray):
-        return ((h << np.uint64(k * 24)) >> np.uint64(64 - bits)).astype(np.int64)
-    return F.shiftrightunsigned(F.shiftleft(h, k * 24), 64 - bits)
+        return ((h << np.uint64(k * 32)) >> np.uint64(64 - bits)).astype(np.int64)
+    return F.shiftrightunsigned(F.shiftleft(h, k * 32), 64 - bits)
+
+
+def filter_bits(entries: int, most: int = BITMAP_BITS) -> int:
+    return min(most, max(LEAST_BITS, (entries * PER_ENTRY).bit_length()))
 
 
 def bloom(hashes: DataFrame, bits: int):
-    """A Bloom filter of fixed size (2^bits bits) with the longs of column h; the driver gets its 64-bit words."""
+    """A Bloom filter of 2^bits bits with the longs of column h; the driver gets its 64-bit words."""
     slot = hashes.select(F.explode(F.array(*(_slots(F.col("h"), bits, k) for k in range(HASHES)))).alias("slot"))
     word = slot.select(F.shiftright("slot", 6).cast("int").alias("i"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("w"))
-    with common.freed_shuffles(hashes.sparkSession):
-        table = word.groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()
+    rows = word.groupBy("i").agg(F.bit_or("w").alias("w"))
     out = np.zeros(max(1, 1 << (bits - 6)), np.int64)
-    out[table.column("i").to_numpy()] = table.column("w").to_numpy()
-    del table
+    with common.freed_shuffles(hashes.sparkSession):
+        for batch in rows.mapInArrow(_gathered, "i binary, w binary").toArrow().to_batches():
+            for i, w in zip(batch.column("i").to_pylist(), batch.column("w").to_pylist()):
+                out[np.frombuffer(i, np.int32)] = np.frombuffer(w, np.int64)
     common.tidy()
     return hashes.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
 
+def _gathered(batches):
+    """Words and their places, a batch in one row."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("i", "w")], ["i", "w"])
+
+
 def hits(marked: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     """1 where a hash may be in the filter, else 0."""
     out = np.ones(len(h), np.uint64)
@@ -91,9 +107,14 @@ def hits(marked: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _bitmap(docs: DataFrame, window: int, bits: int):
-    """A Bloom filter with the anchors that occur twice."""
-    return bloom(docs.mapInArrow(common.tidied(_count_anchors(window)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), bits)
+def _bitmap(docs: DataFrame, window: int, most: int):
+    """A Bloom filter with the anchors that occur twice, and its size."""
+    counted = docs.mapInArrow(common.tidied(_count_anchors(window)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    twice = common.stored(counted.where("n > 1").select("h"), "anchors")
+    bits = filter_bits(twice.count(), most)
+    out = bloom(twice, bits)
+    common.drop(twice)
+    return out, bits
 
 
 def _candidates(window: int, bits: int, bitmap):
@@ -110,8 +131,9 @@ def _candidates(window: int, bits: int, bitmap):
             seen = np.cumsum(seen, dtype=np.int32)
             near = seen[window - width + 1 : window - width + 1 + n] > seen[:n]  # an anchor starts in the window and ends in it
             p = np.flatnonzero(near & (words.left >= window))
-            doc = np.asarray(batch.column("doc_id").fill_null(0))[words.doc[p]]
-            yield pa.RecordBatch.from_arrays([pa.array(words.windows(p, window).view(np.int64)), pa.array(doc), pa.array(words.pos[p].astype(np.int32))], ["h", "doc_id", "pos"])
+            own = [np.asarray(batch.column(c).fill_null(0))[words.doc[p]] for c in ("doc_id", "t")]
+            both = words.windows(p, window).view(np.int64), (words.windows(p, window, window + 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, both), *map(pa.array, own), pa.array(words.pos[p].astype(np.int32))], ["h", "g", "doc_id", "t", "pos"])
 
     return run
 
@@ -127,7 +149,7 @@ def _runs(window: int):
                 first = np.r_[True, p[1:] > p[:-1] + window] if len(p) else np.zeros(0, bool)
                 last = np.r_[first[1:], True] if len(p) else first
                 lists.append(np.stack([p[first], p[last] + window], 1).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "t", "at"])
 
     return run
 
@@ -141,20 +163,33 @@ def _covered(n: int, runs) -> np.ndarray:
 
 
 def spans(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP_BITS) -> DataFrame:
-    """(doc_id, at array<int>): runs of words to remove, as a row of starts and ends, where there are any.
+    """(doc_id, t, at array<int>): runs of words to remove, as a row of starts and ends, where there are any; t is the text's hash.
 
-    They are covered by windows whose words also start in a document with a smaller doc_id.
+    They are covered by windows whose words also start in a document with a smaller doc_id. The filter has 2^bits bits at most.
     """
-    it = common.id_text(docs)
-    found = common.stored(it.mapInArrow(common.tidied(_candidates(window, bits, _bitmap(it, window, bits))), "h long, doc_id long, pos int"), "windows")
-    first = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
+    it = _own(docs)
+    bitmap, size = _bitmap(it, window, bits)
+    found = common.stored(it.mapInArrow(common.tidied(_candidates(window, size, bitmap)), "h long, g int, doc_id long, t long, pos int"), "windows")
+    bitmap.destroy()  # also its copies on the executors' disks
+    first = found.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "g", "lo")
     first = common.stored(first, "first-windows")  # from a table, both sides of the join are shuffled for it, and a hot window can be split
-    starts = found.join(first, "h").where("lo < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
-    out = common.stored(starts.mapInArrow(common.tidied(_runs(window)), "doc_id long, at array<int>"), "spans")
+    # a text has fewer than 2^30 words, so place and text fit into one number, which makes less to shuffle
+    rows = found.select("h", "g", "doc_id", F.shiftleft("t", 30).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    own, pos = F.shiftrightunsigned("at", 30).alias("t"), F.col("at").bitwiseAND(F.lit((1 << 30) - 1)).cast("int")
+    starts = rows.join(first, ["h", "g"]).where("lo < doc_id").groupBy("doc_id", own).agg(F.collect_list(pos).alias("at"))
+    out = common.stored(starts.mapInArrow(common.tidied(_runs(window)), "doc_id long, t long, at array<int>"), "spans")
     common.drop(found, first)
     return out
 
 
+def _text_hash(text):
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 30)
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    return common.id_text(docs).withColumn("t", _text_hash(F.col("text")))
+
+
 def _digests(batches):
     for batch in common.slices(batches):
         n, gone, sha = [], [], []
@@ -190,22 +225,29 @@ def cut(text: bytes, runs) -> bytes:
     return b"".join(text[a:b] for a, b, o in zip(begins.tolist(), ends.tolist(), out.tolist()) if not o).rstrip(b" \t\n\r\x0b\x0c")
 
 
-def _cut_texts(batches):
-    for batch in common.slices(batches):
-        at = _lists(batch.column("at"))
-        new = [t if p is None else cut(t, p) for t, p in zip(common.texts(batch), at)]
-        new = pa.array([None if p is None and not ok else t for t, p, ok in zip(new, at, batch.column("text").is_valid().to_pylist())], pa.binary()).cast(pa.string())
-        put = {"text": new}
-        if "n_chars" in batch.schema.names:
-            own = batch.column("n_chars")
-            put["n_chars"] = pc.if_else(batch.column("at").is_valid(), pc.utf8_length(new).cast(own.type), own)
-        out = pa.RecordBatch.from_arrays([put.get(f.name, batch.column(f.name)) for f in batch.schema if f.name != "at"], [f.name for f in batch.schema if f.name != "at"])
-        yield out.filter(pa.array([p is None or t != b"" for p, t in zip(at, new.cast(pa.binary()).to_pylist())]))
+def _cut_texts(runs: str):
+    """Texts without the words of the runs in a column, which goes."""
+
+    def run(batches):
+        for batch in common.slices(batches):
+            at = _lists(batch.column(runs))
+            new = [t if p is None else cut(t, p) for t, p in zip(common.texts(batch), at)]
+            new = pa.array([None if p is None and not ok else t for t, p, ok in zip(new, at, batch.column("text").is_valid().to_pylist())], pa.binary()).cast(pa.string())
+            put = {"text": new}
+            if "n_chars" in batch.schema.names:
+                own = batch.column("n_chars")
+                put["n_chars"] = pc.if_else(batch.column(runs).is_valid(), pc.utf8_length(new).cast(own.type), own)
+            names = [f.name for f in batch.schema if f.name != runs]
+            out = pa.RecordBatch.from_arrays([put.get(c, batch.column(c)) for c in names], names)
+            yield out.filter(pa.array([p is None or t != b"" for p, t in zip(at, new.cast(pa.binary()).to_pylist())]))
+
+    return run
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    return common.id_text(docs).join(spans(docs, window).hint("merge"), "doc_id", "left").mapInArrow(common.tidied(_digests), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined = _own(docs).join(spans(docs, window).hint("merge"), ["doc_id", "t"], "left")
+    return joined.mapInArrow(common.tidied(_digests), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -214,5 +256,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; one that has no word left after that goes, n_chars follows the text."""
-    found = spans(docs).withColumnRenamed("doc_id", "_id")
-    return docs.join(found.hint("merge"), docs["doc_id"] == found["_id"], "left").drop("_id").mapInArrow(common.tidied(_cut_texts), docs.schema)
+    common.small_batches(spark)
+    runs, own_id, own_text = (common.fresh(docs, c) for c in ("own_runs", "own_id", "own_text"))
+    found = spans(docs).withColumnsRenamed({"doc_id": own_id, "t": own_text, "at": runs})
+    own = docs.join(found.hint("merge"), (docs["doc_id"] == found[own_id]) & (_text_hash(docs["text"]) == found[own_text]), "left")
+    return own.drop(own_id, own_text).mapInArrow(common.tidied(_cut_texts(runs)), docs.schema)
