@@ -24,6 +24,15 @@ ASSET_ATTRIBUTES = (
     ("img", "data-src"), ("img", "data-lazy-src"), ("source", "data-src"), ("source", "data-lazy-src"), ("video", "poster"),
     ("iframe", "src"), ("embed", "src"), ("object", "data"), ("track", "src"), ("input", "src"),
 )
+# Attributes whose quoted value is a link, and those that hold several candidates.
+LINK_ATTRIBUTES = ("href", "src", "action", "poster", "data-src", "data-lazy-src")
+SRCSET_ATTRIBUTES = ("srcset", "data-srcset")
+# Link relations that break offline pages (preload only for scripts), names of service worker files in lower case, and calls that start one.
+DROPPED_LINKS = ("manifest", "modulepreload", "preload")
+WORKER_FILES = ("registersw", "workbox", "swregister", "sw-register", "sw.js")
+WORKER_CALLS = ("serviceWorker", "registerSW", "workbox")
+# Types of scripts that hold data.
+DATA_SCRIPTS = ("application/ld+json", "text/template", "speculationrules", "application/json")
 # Characters that file names can't hold.
 UNSAFE = "/\\:*?\"<>|"
 # A file's name in the archive listing that is left out.

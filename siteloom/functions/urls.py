@@ -2,7 +2,7 @@
 
 parse_web_url() gives struct(scheme, host, port, path, query, fragment), null for anything but http and https with a host. The
 other functions take such structs. Ports equal to the scheme's default are null; paths and queries are percent-encoded as
-the WHATWG standard asks. Hosts beyond ASCII are lower-cased, not converted to punycode (see weburl.py for that).
+the WHATWG standard asks. Hosts beyond ASCII are lower-cased, not converted to punycode.
 """
 
 from __future__ import annotations

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import robots, urls
+from .scratch import shared_dir
+
+#: Tables of pages seen that are read together before they are written as one.
+COMPACT = 16
 
 
 def first_found(found: DataFrame) -> DataFrame:
@@ -25,16 +29,18 @@ def limited(frontier: DataFrame, room: int) -> DataFrame:
     return frontier.orderBy("depth", "source", "pos").limit(room)
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, robots_rules: DataFrame | None = None, max_pages: int = 10_000, max_rounds: int = 1_000, seed_obeys_robots: bool = False) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, robots_rules: DataFrame | None = None, max_pages: int | None = None, max_bytes: int = 0, seed_obeys_robots: bool = False) -> DataFrame:
     """(canonical_url, url, site, depth, source, pos) of every page reached.
 
-    pages: (canonical_url, links array<string> resolved); seeds: (canonical_url, url, site). A round joins the frontier with
-    the pages, follows enqueueable links, drops visited ones and those that robots forbid, and stops at max_pages in the order
-    (depth, source, pos). Each round ends in a table in the shared folder, which cuts its lineage. The HTTP crawl's seeds pass robots unasked; the
-    rendering crawl's do not (seed_obeys_robots), and with max_pages 0 the former keeps its seeds, the latter nothing.
+    pages: (canonical_url, links array<string> resolved, and size where max_bytes is given); seeds: (canonical_url, url, site). A round joins
+    the frontier with the pages' links, follows enqueueable ones, drops visited ones and those that robots forbid. It goes on until a round finds
+    nothing new, unless the caller sets a limit: max_pages pages in the order (depth, source, pos), or no further round once those reached
+    have max_bytes (0: no limit). Each round ends in a table in the shared folder, which cuts its lineage. Of several seeds with one
+    canonical URL, the smallest URL counts. The HTTP crawl's seeds pass robots unasked; the rendering crawl's do not (seed_obeys_robots), and
+    with max_pages 0 the former keeps its seeds, the latter nothing.
     """
     spark = pages.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/siteloom'}/crawl-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/crawl-{uuid.uuid4().hex}"
 
     def allowed(df: DataFrame) -> DataFrame:
         if robots_rules is None:
@@ -46,29 +52,45 @@ def crawl(pages: DataFrame, seeds: DataFrame, robots_rules: DataFrame | None = N
 
     def stored(df: DataFrame, name: str) -> tuple[DataFrame, int]:
         df.write.parquet(f"{folder}/{name}")
-        return read([name]), read([name]).count()
+        out = read([name])
+        return out, out.count()
+
+    def full(n: int) -> bool:
+        return max_pages is not None and n >= max_pages
 
-    start = seeds.select("canonical_url", "url", "site", F.lit(0).alias("depth"), F.lit("").alias("source"), F.lit(0).alias("pos")).dropDuplicates(["canonical_url"])
+    start = seeds.groupBy("canonical_url").agg(F.min(F.struct("url", "site")).alias("s")).select("canonical_url", "s.url", "s.site", F.lit(0).alias("depth"), F.lit("").alias("source"), F.lit(0).alias("pos"))
     if seed_obeys_robots:
-        start = limited(allowed(start), max_pages)
+        start = allowed(start)
+        start = start if max_pages is None else limited(start, max_pages)
     schema = start.schema
+    # links are parsed once, not in each round
+    links = urls.with_url(pages.select(F.col("canonical_url").alias("source"), F.posexplode("links").alias("pos", "url")), "url", "u")
+    links = links.where(urls.is_enqueueable_page(F.col("u"), F.col("u.host")))
+    links.select("source", "pos", "url", urls.bare_host(F.col("u.host")).alias("host"), urls.normalize_url(F.col("u"), F.lit("page")).alias("canonical_url")).write.parquet(f"{folder}/links")
+    edges = spark.read.parquet(f"{folder}/links")
     frontier, n = stored(start, "round-0")
-    seen_tables, reached_tables = ["round-0"], ["round-0"]
-    for k in range(1, max_rounds):
-        if n >= max_pages:
-            break
-        links = frontier.join(pages, "canonical_url").select(F.col("canonical_url").alias("source"), "site", F.posexplode("links").alias("pos", "url"))
-        links = urls.with_url(links, "url", "u").where(urls.is_enqueueable_page(F.col("u"), F.col("site")))
-        found = links.select(urls.normalize_url(F.col("u"), F.lit("page")).alias("canonical_url"), "url", "site", F.lit(k).alias("depth"), "source", "pos")
-        new = new_frontier(found, read(seen_tables).select("canonical_url")).select(*start.columns)
+    seen, reached, k, size = ["round-0"], ["round-0"], 0, 0
+    while not full(n):
+        if max_bytes:
+            size += frontier.join(pages, "canonical_url").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+            if size >= max_bytes:
+                break
+        k += 1
+        links = frontier.select(F.col("canonical_url").alias("source"), F.col("site"), urls.bare_host(F.col("site")).alias("own")).join(edges, "source").where("host = own")
+        found = links.select("canonical_url", "url", "site", F.lit(k).alias("depth"), "source", "pos")
+        new = new_frontier(found, read(seen).select("canonical_url")).select(*start.columns)
         frontier, m = stored(new, f"round-{k}")
         if not m:
             break
-        seen_tables.append(f"round-{k}")  # with what robots forbids, so that it is not asked again
+        seen.append(f"round-{k}")  # with what robots forbids, so that it is not asked again
+        if len(seen) > COMPACT:
+            read(seen).write.parquet(f"{folder}/seen-{k}")
+            seen = [f"seen-{k}"]
         name = f"round-{k}"
-        if robots_rules is not None or n + m > max_pages:
-            frontier, m = stored(limited(allowed(frontier), max_pages - n), f"kept-{k}")
+        if robots_rules is not None or (max_pages is not None and n + m > max_pages):
+            kept = allowed(frontier)
+            frontier, m = stored(kept if max_pages is None else limited(kept, max_pages - n), f"kept-{k}")
             name = f"kept-{k}"
-        reached_tables.append(name)
+        reached.append(name)
         n += m
-    return read(reached_tables)
+    return read(reached)

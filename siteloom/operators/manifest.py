@@ -46,13 +46,22 @@ def last_written(rows: DataFrame, order: Column) -> DataFrame:
     return rows.groupBy("canonical_url").agg(F.max_by(every, order).alias("r")).select("r.*")
 
 
-def visited(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.select("canonical_url").union(new.select("canonical_url")).distinct()
+def visited(old: DataFrame, new: DataFrame, *others: DataFrame) -> DataFrame:
+    """Every URL that a run has settled: recorded before, processed now, and others, such as those that failed or that robots forbid."""
+    out = old.select("canonical_url").union(new.select("canonical_url"))
+    for df in others:
+        out = out.union(df.select("canonical_url"))
+    return out.distinct()
 
 
 def with_freshness(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Adds file_exists and local_fresh from files(path, bytes): fresh is a stored file whose hash is the recorded one."""
-    now = files.select("path", hash_bytes(F.col("bytes")).alias("_hash"))
+    return with_hashes(manifest, files.select("path", hash_bytes(F.col("bytes")).alias("hash")))
+
+
+def with_hashes(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """The same from files(path, hash), which do not move whole files."""
+    now = files.select("path", F.col("hash").alias("_hash"))
     joined = manifest.join(now, "path", "left")
     return joined.select(*[manifest[c] for c in manifest.columns], F.col("_hash").isNotNull().alias("file_exists"), F.coalesce(F.col("_hash") == manifest["hash"], F.lit(False)).alias("local_fresh"))
 
@@ -69,9 +78,12 @@ def request_headers(action: Column, etag: Column, mtime: Column) -> Column:
     return F.when(action == "conditional_get", F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())))
 
 
-def planned(urls: DataFrame, manifest_with_freshness: DataFrame) -> DataFrame:
-    """What to do with each URL, by its manifest row where there is one; outlinks that are empty count as unknown."""
-    m = manifest_with_freshness.select("*", F.lit(True).alias("known"))
+def planned(urls: DataFrame, manifest_with_freshness: DataFrame, fresh: bool = False) -> DataFrame:
+    """What to do with each URL, by its manifest row where there is one; outlinks that are empty count as unknown.
+
+    A fresh run knows nothing of the last one.
+    """
+    m = manifest_with_freshness.where(F.lit(not fresh)).select("*", F.lit(True).alias("known"))
     joined = urls.join(m, "canonical_url", "left")
     no = F.lit(False)
     known, fresh, exists = (F.coalesce(F.col(c), no) for c in ("known", "local_fresh", "file_exists"))

@@ -42,17 +42,25 @@ def console_lines(summary_: DataFrame) -> DataFrame:
     return summary_.select(F.array_join(F.array(line("pages", "pages"), line("images", "images"), line("css", "css"), line("js", "js"), line("size", "size_text"), line("errors", "errors"), line("status", "outcome")), "\n").alias("text"))
 
 
+def file_count(files: DataFrame) -> DataFrame:
+    """One row: files and bytes of files(path, bytes)."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).alias("total_bytes"))
+
+
 def archive_listing(files: DataFrame) -> DataFrame:
     """What goes into the archive: every file but those named like the manifest."""
     return files.where(F.element_at(F.split("path", "/"), -1) != MANIFEST_NAME)
 
 
-def create_zip(files: DataFrame, prefix: str = "") -> bytes:
-    """A deflated archive of files(path, bytes) in path order. It is one file, so the driver writes it, row by row."""
-    out = io.BytesIO()
+def create_zip(files: DataFrame, prefix: str = "", to=None) -> bytes | None:
+    """A deflated archive of files(path, bytes) in path order, written to a path or an open file, else returned as bytes.
+
+    It is one file, so the driver writes it; rows come and go one partition at a time.
+    """
+    out = to if to is not None else io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for r in archive_listing(files).orderBy("path").toLocalIterator():
             info = zipfile.ZipInfo(prefix + r.path)
             info.external_attr, info.compress_type = 0o644 << 16, zipfile.ZIP_DEFLATED
             z.writestr(info, bytes(r.bytes))
-    return out.getvalue()
+    return out.getvalue() if to is None else None

@@ -110,6 +110,12 @@ def _rules() -> str:
     return ", ".join(f"('{r}', {str(a).lower()})" for r, a in rules)
 
 
+def _bfs(second: int) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT page_id AS a, unnest([(2 * page_id + 1) % c, ({second} * page_id + 2) % c]) AS b, c FROM pages, (SELECT count(*) AS c FROM pages)),
+r(id, depth) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.id WHERE r.depth < c)
+SELECT 'https://site.example/p' || id AS canonical_url, min(depth) AS depth FROM r GROUP BY id"""
+
+
 _SIZES = "count(*) FILTER (NOT failed AND rtype = '{}')"
 SQL = {
     "url_components": f"WITH {PAGES} SELECT page_id, scheme, host, CAST(NULL AS INTEGER) AS port, path, query, fragment, host AS label FROM pg",
@@ -147,7 +153,7 @@ SELECT path, ref FROM g WHERE len(d) >= up AND array_to_string(list_concat(d[:le
     "incremental_actions": f"""WITH {PAGES}, {_KNOWN}, f AS (SELECT opath AS path, 'sha256:' || sha256(arg_max(html, page_id)) AS h FROM canon WHERE page_id % 7 <> 0 GROUP BY 1),
 j AS (SELECT c.canonical_url, k.path IS NOT NULL AS known, f.h IS NOT NULL AS there, coalesce(f.h = k.hash, false) AS fresh, k.etag FROM (SELECT DISTINCT canonical_url FROM canon) c LEFT JOIN known k USING (canonical_url) LEFT JOIN f ON f.path = k.path)
 SELECT canonical_url, CASE WHEN known AND fresh AND there AND etag IS NULL THEN 'reuse_local' WHEN known AND there AND etag IS NOT NULL THEN 'conditional_get' ELSE 'get' END AS action, CASE WHEN known AND there AND etag IS NOT NULL THEN etag END AS etag, CASE WHEN known THEN 'page' END AS prior_rtype FROM j""",
-    "manifest_upsert": f"""WITH {PAGES}, {_KNOWN}, n0 AS (SELECT canonical_url, opath AS path, strlen(html) AS size, 'sha256:' || sha256(html) AS hash, row_number() OVER (PARTITION BY canonical_url ORDER BY page_id DESC) AS rn FROM canon WHERE page_id % 4 IN (1, 2))
+    "manifest_upsert": f"""WITH {PAGES}, {_KNOWN}, n0 AS (SELECT canonical_url, opath AS path, strlen(html) AS size, 'sha256:' || sha256(html) AS hash, row_number() OVER (PARTITION BY canonical_url ORDER BY page_id DESC) AS rn FROM canon WHERE page_id % 4 <> 0)
 SELECT canonical_url, path, size, hash, 'new' AS mtime FROM n0 WHERE rn = 1 UNION ALL SELECT canonical_url, path, size, hash, NULL FROM known WHERE canonical_url NOT IN (SELECT canonical_url FROM n0)""",
     "robots_allowed": f"WITH {LINKS}, r(rule, ok) AS (VALUES {_rules()}), p AS (SELECT DISTINCT lpath AS path FROM lk) SELECT path, coalesce((SELECT ok FROM r WHERE starts_with(path, rule) ORDER BY length(rule) DESC, ok DESC LIMIT 1), true) AS allowed FROM p",
     "crawl_summary": f"""WITH {LINKS}, x AS (SELECT {_bare('host')} AS site, {_rtype('lpath')} AS rtype, length({_RESOLVED}) * 97 AS size, pos % 5 = 4 AS reused, length(href) = 3 AS failed FROM lk),
@@ -157,7 +163,16 @@ SELECT *, CASE WHEN total_bytes < 1024 THEN total_bytes || ' B' WHEN total_bytes
     "archive_listing": f"WITH {PAGES} SELECT page_id, opath AS path, strlen(html) AS size FROM canon WHERE page_id % 10 <> 0",
     "charset_sniff": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'gb2312' ELSE 'utf-8' END AS charset FROM pages",
     "formatted_sizes": "WITH s AS (SELECT page_id, strlen(html) * page_id * page_id AS n FROM pages) SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size_text FROM s",
-    "bfs_depths": """WITH RECURSIVE e AS (SELECT page_id AS a, unnest([(2 * page_id + 1) % c, (2 * page_id + 2) % c]) AS b FROM pages, (SELECT count(*) AS c FROM pages)),
-r(id, depth) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.id WHERE r.depth < 20)
-SELECT 'https://site.example/p' || id AS canonical_url, min(depth) AS depth FROM r GROUP BY id""",
+    "bfs_depths": _bfs(2),
+    "bfs_deep": _bfs(3),
+    "page_assets": f"""WITH {PAGES}, a(seq, ref, rest) AS (VALUES (0, 'https://fonts.example.net/css2?family=A', NULL), (1, 'i.png', '/zz/i.png'), (2, '../l.gif', '/l.gif'), (3, 'https://cdn.example.net:8443/p.jpg', NULL), (4, 'go.svg', '/zz/go.svg'), (5, 'a.png', '/zz/a.png'), (6, '/zz/c.webp', '/zz/c.webp'))
+SELECT page_id, CAST(seq + CASE WHEN seq = 0 THEN 0 ELSE 1 END AS BIGINT) AS seq, ref, coalesce(scheme || '://' || host || rest, ref) AS url FROM pg, a""",
+    "asset_fan_out": f"""WITH {PAGES}, a(rest) AS (VALUES ('/zz/i.png'), ('/l.gif'), ('/zz/go.svg'), ('/zz/a.png'), ('/zz/c.webp')), f(url, round) AS (VALUES ('https://fonts.example.net/css2?family=A', 0), ('https://fonts.example.net/b.css', 1), ('https://fonts.example.net/f.woff2', 1), ('https://fonts.example.net/g.png', 2))
+SELECT DISTINCT scheme || '://' || host || rest AS canonical_url, scheme || '://' || host || rest AS url, CAST(0 AS BIGINT) AS round FROM pg, a UNION ALL SELECT url, url, round FROM f""",
+    "rewritten_assets": f"""WITH {PAGES}, x AS (SELECT page_id, repeat('../', len(string_split(opath, '/')) - 1) AS up FROM canon)
+SELECT page_id, '<img src="' || up || 'zz/i.png" srcset="' || up || 'zz/a.png 1x, ' || up || 'zz/c.webp 2x"><p style="background:url(' || up || 'zz/bg.png) no-repeat"><video poster="' || up || '_external/cdn.example.net_8443/p.jpg"></video><script type="module" src="' || up || 'zz/m.js"></script>' AS new_html,
+  'url("' || up || 'zz/x.css"); b{{background:url("' || up || 'zz/bg.png")}} i{{src:url(data:y)}} u{{src:url(https://elsewhere.example/p)}}' AS new_css FROM x""",
+    "captures_kept": f"""WITH {PAGES}, a(seq, url, resource_type) AS (VALUES (0, '/a.js', 'Script'), (4, '/p/q', 'Document'), (5, '//cdn.example.net/f.woff2', 'Font'), (8, ':81/a.css', 'Stylesheet'))
+SELECT page_id, CASE WHEN starts_with(a.url, '//') THEN scheme || ':' || a.url ELSE scheme || '://' || host || a.url END AS url, CAST(seq AS BIGINT) AS seq, resource_type FROM pg, a""",
+    "decoded_bodies": """SELECT page_id, ['中文', '<meta charset="gbk">中文', 'é', '中', '\ufffdA'][page_id % 5 + 1] AS text FROM pages""",
 }

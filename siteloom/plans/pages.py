@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import content, html, paths, rewrite, robots, urls
-from ..operators import closure, manifest, report
+from ..operators import assets, closure, manifest, report
+from ..streaming import captures
 
 PAGE_KIND = "page"
 #: Rules of the robots query, the same for every site.
@@ -36,7 +37,7 @@ def links(spark, sf_dir: str) -> DataFrame:
 def stored_files(spark, sf_dir: str) -> DataFrame:
     """(page_id, canonical_url, path, text): pages rewritten for offline reading."""
     c = canonical(spark, sf_dir)
-    return c.select("page_id", "canonical_url", "url", "path", rewrite.rewrite_html(F.col("html"), F.col("u"), F.col("u.host"), F.col("u.port")).alias("text"))
+    return rewrite.rewrite_html(c, "text", F.col("html"), F.col("u"), F.col("u.host"), F.col("u.port")).select("page_id", "canonical_url", "url", "path", "text")
 
 
 def url_components(spark, sf_dir):
@@ -123,8 +124,8 @@ def relative_links(spark, sf_dir):
 
 def rewritten_attrs(spark, sf_dir):
     u = F.col("u")
-    new = rewrite.rewrite_attributes(F.col("html"), u, paths.url_to_offline_path(u), u["host"], u["port"])
-    return pages(spark, sf_dir).select("page_id", F.sha2(new, 256).alias("sha256"), F.length(new).cast("long").alias("n_chars"))
+    new = rewrite.rewrite_attributes(pages(spark, sf_dir), "new", F.col("html"), u, paths.url_to_offline_path(u), u["host"], u["port"])
+    return new.select("page_id", F.sha2("new", 256).alias("sha256"), F.length("new").cast("long").alias("n_chars"))
 
 
 def stripped_html(spark, sf_dir):
@@ -191,15 +192,15 @@ def _known(spark, sf_dir) -> DataFrame:
 def incremental_actions(spark, sf_dir):
     c = canonical(spark, sf_dir).where("page_id % 7 <> 0")
     # files by path: of pages with one path, the last
-    files = c.groupBy("path").agg(F.max_by(F.col("html").cast("binary"), "page_id").alias("bytes"))
+    files = c.select("path", "page_id", content.hash_bytes(F.col("html").cast("binary")).alias("hash")).groupBy("path").agg(F.max_by("hash", "page_id").alias("hash"))
     every = canonical(spark, sf_dir).select("canonical_url").distinct()
-    x = manifest.planned(every, manifest.with_freshness(_known(spark, sf_dir), files))
+    x = manifest.planned(every, manifest.with_hashes(_known(spark, sf_dir), files))
     return x.select("canonical_url", "action", F.get(F.map_values("request_headers"), F.lit(0)).alias("etag"), "prior_rtype")
 
 
 def manifest_upsert(spark, sf_dir):
     c = canonical(spark, sf_dir)
-    new = c.where("page_id % 4 = 1 or page_id % 4 = 2").select("page_id", "canonical_url", "path", F.octet_length("html").cast("long").alias("size"), content.hash_bytes(F.col("html").cast("binary")).alias("hash"), F.lit("new").alias("mtime"), F.lit(None).cast("string").alias("etag"), F.lit(PAGE_KIND).alias("rtype"), F.lit(None).cast("string").alias("original_url"), F.array().cast("array<string>").alias("outlinks"))
+    new = c.where("page_id % 4 <> 0").select("page_id", "canonical_url", "path", F.octet_length("html").cast("long").alias("size"), content.hash_bytes(F.col("html").cast("binary")).alias("hash"), F.lit("new").alias("mtime"), F.lit(None).cast("string").alias("etag"), F.lit(PAGE_KIND).alias("rtype"), F.lit(None).cast("string").alias("original_url"), F.array().cast("array<string>").alias("outlinks"))
     out = manifest.upsert(_known(spark, sf_dir), manifest.last_written(new, F.col("page_id")).drop("page_id"))
     return out.select("canonical_url", "path", "size", "hash", "mtime")
 
@@ -233,18 +234,85 @@ def formatted_sizes(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", content.format_bytes(n).alias("size_text"))
 
 
-def bfs_depths(spark, sf_dir):
-    """Breadth-first crawl of a site made of the pages: page i links to the pages 2i + 1 and 2i + 2, beyond the last one from the start again."""
+def _site(spark, sf_dir, second: int) -> DataFrame:
+    """A crawl of one site made of the pages: page i links to the pages 2i + 1 and second * i + 2, beyond the last one from the start again."""
     from ..operators.crawl import crawl
 
     ids = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
     name = lambda k: F.concat(F.lit("https://site.example/p"), k.cast("string"))
     n = ids.count()
     i = F.col("page_id")
-    rows = ids.select(name(i).alias("canonical_url"), F.array(name((2 * i + 1) % n), name((2 * i + 2) % n)).alias("links"))
+    rows = ids.select(name(i).alias("canonical_url"), F.array(name((2 * i + 1) % n), name((second * i + 2) % n)).alias("links"))
     seeds = ids.where("page_id = 0").select(name(i).alias("canonical_url"), name(i).alias("url"), F.lit("site.example").alias("site"))
-    # every page is reached: neither limit can bind, as each round but the last finds a page
-    return crawl(rows, seeds, max_pages=n + 1, max_rounds=n + 2).select("canonical_url", F.col("depth").cast("long").alias("depth"))
+    return crawl(rows, seeds).select("canonical_url", F.col("depth").cast("long").alias("depth"))
+
+
+def bfs_depths(spark, sf_dir):
+    """Breadth-first crawl of a wide site."""
+    return _site(spark, sf_dir, 2)
+
+
+def bfs_deep(spark, sf_dir):
+    """Breadth-first crawl of a site with long chains of pages."""
+    return _site(spark, sf_dir, 3)
+
+
+#: Put before pages that have no assets of their own; the third word is where a reference leads.
+ASSET_HEAD = (
+    '<base href="/zz/"><img src="i.png" srcset="a.png 1x, /zz/c.webp 2x"><img data-lazy-src="../l.gif"><input type="image" src="go.svg">'
+    '<video poster="https://cdn.example.net:8443/p.jpg"></video><link rel="stylesheet" href="https://fonts.example.net/css2?family=A"><script src="/api/x.js"></script>'
+)
+REWRITE_HEAD = (
+    "<base href='/zz/'><img src='i.png' srcset=\"a.png 1x, /zz/c.webp 2x\"><p style=\"background:url('/zz/bg.png') no-repeat\">"
+    '<video poster="//cdn.example.net:8443/p.jpg"></video><script src="/sw.js"></script><script type="module" src="/zz/m.js" crossorigin></script>'
+)
+SHEET = "@import \"/zz/x.css\"; b{background:url('/zz/bg.png')} i{src:url(data:y)} u{src:url(https://elsewhere.example/p)}"
+
+
+def _assets(spark, sf_dir) -> DataFrame:
+    p = pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("source"), "u", F.concat(F.lit(ASSET_HEAD), F.col("html")).alias("html"), F.col("u.host").alias("site_host"), F.col("u.port").alias("site_port"))
+    return assets.page_assets(p)
+
+
+def page_assets(spark, sf_dir):
+    return _assets(spark, sf_dir).select(F.col("source").cast("long").alias("page_id"), F.col("seq").cast("long").alias("seq"), "ref", "url")
+
+
+def asset_fan_out(spark, sf_dir):
+    """Assets of the pages of all sites, and what two linked style sheets lead to; those of one host are stored already."""
+    first = _assets(spark, sf_dir).withColumn("source", F.lpad("source", 20, "0"))
+    sheets = spark.createDataFrame([("https://fonts.example.net/css2?family=A", "css", "@import 'b.css';@font-face{src:url(f.woff2)}"), ("https://fonts.example.net/b.css", "css", "p{background:url(/css2?family=A)}i{background:url(g.png)}")], "canonical_url string, rtype string, text string")
+    done = first.where(F.col("canonical_url").startswith("https://cdn.example.net")).select("canonical_url").distinct()
+    out = assets.fan_out(first, sheets, done, F.lit("site.example"), F.lit(None).cast("int"))
+    return out.select("canonical_url", "url", F.col("round").cast("long").alias("round"))
+
+
+def rewritten_assets(spark, sf_dir):
+    """A fixed head and a fixed sheet, rewritten for each page's place."""
+    p, u = pages(spark, sf_dir).withColumns({"head": F.lit(REWRITE_HEAD), "sheet": F.lit(SHEET)}), F.col("u")
+    p = rewrite.rewrite_html(p, "new_html", F.col("head"), u, u["host"], u["port"])
+    return rewrite.rewrite_css(p, "new_css", F.col("sheet"), u, u["host"], u["port"]).select("page_id", "new_html", "new_css")
+
+
+def captures_kept(spark, sf_dir):
+    """Requests of a browser on each page: which are files of the site, each once."""
+    asked = (("/a.js#x", "Script"), ("/a.js", "Image"), ("/api/x", "Script"), ("/x.json", "Fetch"), ("/p/q", "Document"), ("//cdn.example.net/f.woff2", "Font"), ("//elsewhere.example/q", "Document"), ("/t?_rsc=1", "Script"), (":81/a.css", "Stylesheet"), (":81/page", "Image"))
+    rows = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(url).alias("url"), F.lit(t).alias("resource_type")) for i, (url, t) in enumerate(asked)))
+    u = F.col("u")
+    own = F.concat(u["scheme"], F.lit("://"), u["host"])
+    x = pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("page_url"), u["host"].alias("site_host"), u["port"].alias("site_port"), u["scheme"].alias("scheme"), own.alias("own"), F.explode(rows).alias("r"))
+    url = F.when(F.col("r.url").startswith("//"), F.concat(F.col("scheme"), F.lit(":"), F.col("r.url"))).otherwise(F.concat("own", "r.url"))
+    x = captures.first_captures(x.select("page_url", "site_host", "site_port", "r.seq", url.alias("url"), "r.resource_type"))
+    return x.select(F.col("page_url").cast("long").alias("page_id"), "url", F.col("seq").cast("long").alias("seq"), "resource_type")
+
+
+def decoded_bodies(spark, sf_dir):
+    """Bodies in several charsets, by header, by mark in the text, and by neither."""
+    cases = (("", "text/html; charset=gbk", "d6d0cec4"), ('<meta charset="gbk">', "text/html", "d6d0cec4"), ("", "text/html; charset=iso-8859-1", "e9"), ("", None, "e4b8ad"), ("", "text/css", "ff41"))
+    k = F.col("page_id") % len(cases)
+    pick = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in cases)), (k + 1).cast("int"))
+    body = F.concat(pick(0).cast("binary"), F.unhex(pick(2)))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", content.decode_body(body, pick(1)).alias("text"))
 
 
 QUERIES = {
@@ -252,6 +320,6 @@ QUERIES = {
     for f in (
         url_components, canonical_url, canonical_groups, tracking_params, offline_path, path_collisions, page_links, link_kinds, kind_counts, outlinks, link_degrees, frontier_new, frontier_limited, relative_links,
         rewritten_attrs, stripped_html, scripts_stripped, spa_signals, visible_text_len, css_refs, local_refs, closure_missing, closure_escaped, manifest_rows, incremental_actions, manifest_upsert, robots_allowed,
-        crawl_summary, archive_listing, charset_sniff, formatted_sizes, bfs_depths,
+        crawl_summary, archive_listing, charset_sniff, formatted_sizes, bfs_depths, bfs_deep, page_assets, asset_fan_out, rewritten_assets, captures_kept, decoded_bodies,
     )
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +22,25 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
     return rows, docs.select(F.explode("visited").alias("canonical_url")).distinct(), docs.select("version", "start_url", "created_at", "updated_at")
 
 
-def dump(entries: DataFrame, visited: DataFrame, start_url: str, created_at: str, updated_at: str) -> str:
-    """The document. It is one JSON value, so the driver writes it, row by row."""
-    every = {}
+def write(out, entries: DataFrame, visited: DataFrame, start_url: str, created_at: str, updated_at: str) -> None:
+    """Writes the document into an open text file. It is one JSON value, so the driver writes it, one partition's rows at a time."""
+    text = lambda x: json.dumps(x, ensure_ascii=False)
+    out.write(f'{{\n  "version": {VERSION},\n  "start_url": {text(start_url)},\n  "created_at": {text(created_at)},\n  "updated_at": {text(updated_at)},\n  "entries": {{')
+    mark = "\n    "
     for r in entries.orderBy("canonical_url").toLocalIterator():
         e = r.asDict()
-        every[e.pop("canonical_url")] = e
-    seen = [r.canonical_url for r in visited.orderBy("canonical_url").toLocalIterator()]
-    return json.dumps({"version": VERSION, "start_url": start_url, "created_at": created_at, "updated_at": updated_at, "entries": every, "visited": seen}, indent=2, ensure_ascii=False)
+        out.write(f"{mark}{text(e.pop('canonical_url'))}: {text(e)}")
+        mark = ",\n    "
+    out.write('\n  },\n  "visited": [')
+    mark = "\n    "
+    for r in visited.orderBy("canonical_url").toLocalIterator():
+        out.write(mark + text(r.canonical_url))
+        mark = ",\n    "
+    out.write("\n  ]\n}\n")
+
+
+def dump(entries: DataFrame, visited: DataFrame, start_url: str, created_at: str, updated_at: str) -> str:
+    """The document as text."""
+    out = io.StringIO()
+    write(out, entries, visited, start_url, created_at, updated_at)
+    return out.getvalue()

@@ -2,10 +2,11 @@ import json
 import zipfile
 from io import BytesIO
 
+import pytest
 from pyspark.sql import functions as F
 
 from siteloom.functions import urls
-from siteloom.operators import closure, manifest, report
+from siteloom.operators import assets, closure, manifest, report
 from siteloom.operators.crawl import crawl
 from siteloom.plans import pages
 from siteloom.sources import corpus, manifest_json
@@ -106,3 +107,96 @@ def test_bfs_depths_covers_more_pages_than_crawls_do_by_default(spark, tmp_path)
     spark.range(n).withColumnRenamed("id", "page_id").write.parquet(str(tmp_path / "pages.parquet"))
     got = {int(r.canonical_url.rsplit("/p", 1)[1]): r.depth for r in pages.bfs_depths(spark, str(tmp_path)).collect()}
     assert got == {i: (i + 1).bit_length() - 1 for i in range(n)}
+
+
+def test_crawl_limits_and_ties(spark):
+    pages, seeds = site(spark)
+    sized = pages.withColumn("size", F.lit(10))
+    depth = lambda df: {r.canonical_url.removeprefix("https://h"): r.depth for r in df.collect()}
+    assert depth(crawl(sized, seeds, max_bytes=20)) == {"/": 0, "/a": 1, "/b": 1}
+    assert depth(crawl(sized, seeds, max_bytes=10)) == {"/": 0}
+    twice = seeds.union(spark.createDataFrame([(seeds.first().canonical_url, "https://h/?utm_source=a", "h")], seeds.schema))
+    got = {r.canonical_url: r.url for r in crawl(pages, twice).collect()}
+    assert got[seeds.first().canonical_url] == min(r.url for r in twice.collect())
+
+
+def test_crawl_compacts_what_it_has_seen(spark, monkeypatch):
+    from siteloom.operators import crawl as module
+
+    monkeypatch.setattr(module, "COMPACT", 3)
+    n = 12
+    rows = spark.createDataFrame([(f"https://h/p{i}", [f"https://h/p{i + 1}", f"https://h/p{i // 2}"]) for i in range(n)], "canonical_url string, links array<string>")
+    seeds = spark.createDataFrame([("https://h/p0", "https://h/p0", "h")], "canonical_url string, url string, site string")
+    assert {r.canonical_url: r.depth for r in crawl(rows, seeds).collect()} == {f"https://h/p{i}": i for i in range(n + 1)}
+
+
+def with_u(df):
+    return urls.with_url(df, "url", "u")
+
+
+def test_assets_are_resolved_and_filtered(spark):
+    page = '<base href="/sub/"><img src="a.png"><script src="/api/y.js"></script><a href="/page"></a><link href="https://elsewhere.org/page" rel="x"><link rel="stylesheet" href="https://cdn.net/s.css?v=1#x"><source srcset="b.webp 2x,../c.gif"><img src="data:image/png;base64,x">'
+    df = with_u(spark.createDataFrame([("p", "https://h:8443/dir/", page, "h", 8443)], "source string, url string, html string, site_host string, site_port int"))
+    got = [(r.ref, r.url) for r in assets.page_assets(df).orderBy("seq").collect()]
+    assert got == [("https://cdn.net/s.css?v=1#x", "https://cdn.net/s.css?v=1#x"), ("a.png", "https://h:8443/sub/a.png"), ("b.webp", "https://h:8443/sub/b.webp"), ("../c.gif", "https://h:8443/c.gif")]
+    sheet = with_u(spark.createDataFrame([("s", "https://cdn.net/look/s.css", "@import 'n.css'; a{src:url(../f.woff2)} b{src:url(data:x)}", "h", 8443)], "source string, url string, css string, site_host string, site_port int"))
+    assert sorted(r.canonical_url for r in assets.sheet_assets(sheet).collect()) == ["https://cdn.net/f.woff2", "https://cdn.net/look/n.css"]
+
+
+def test_own_documents_are_no_assets(spark):
+    rows = [("https://h/shop", "https://h/shop", "https://h/shop/"), ("https://h/shop/", "https://h/shop", "https://h/shop/"), ("https://h/shop.js", "https://h/shop", "https://h/shop/")]
+    df = spark.createDataFrame(rows, "x string, y string, z string")
+    for a, b in (("x", "a"), ("y", "page_u"), ("z", "final_u")):
+        df = urls.with_url(df, a, b)
+    assert [r.x for r in assets.without_own_documents(df).collect()] == ["https://h/shop.js"]
+
+
+def test_fan_out_follows_sheets_and_leaves_what_is_done(spark):
+    first = spark.createDataFrame([("p", 0, "https://h/a.css", "https://h/a.css"), ("p", 1, "https://h/i.png", "https://h/i.png"), ("q", 0, "https://h/a.css", "https://h/a.css")], "source string, seq int, url string, canonical_url string")
+    answers = spark.createDataFrame([("https://h/a.css", "css", "@import 'b.css'; x{src:url(f.woff2)}"), ("https://h/b.css", "css", "@import 'a.css'; y{src:url(g.png)}"), ("https://h/i.png", "image", None)], "canonical_url string, rtype string, text string")
+    done = spark.createDataFrame([("https://h/f.woff2",)], "canonical_url string")
+    got = {r.canonical_url: (r["round"], r.source) for r in assets.fan_out(first, answers, done, F.lit("h"), F.lit(None).cast("int")).collect()}
+    assert got == {"https://h/a.css": (0, "p"), "https://h/i.png": (0, "p"), "https://h/b.css": (1, "https://h/a.css"), "https://h/g.png": (2, "https://h/b.css")}
+    assert assets.fan_out(first.limit(0), answers, done, F.lit("h"), F.lit(None).cast("int")).count() == 0
+
+
+def test_reuse_visited_and_fresh_runs(spark):
+    known = manifest.entries(spark.createDataFrame([entry("https://h/", "index.html", "x"), entry("https://h/e", "e.html", "y", etag="1")], BYTES))
+    files = spark.createDataFrame([("index.html", bytearray(b"x")), ("e.html", bytearray(b"y"))], "path string, bytes binary")
+    asked = spark.createDataFrame([("https://h/", "https://h/"), ("https://h/e", "https://h/e"), ("https://h/n", "https://h/n")], "canonical_url string, url string")
+    plan = manifest.planned(asked, manifest.with_freshness(known, files))
+    assert {r.canonical_url: r.action for r in plan.collect()} == {"https://h/": "reuse_local", "https://h/e": "conditional_get", "https://h/n": "get"}
+    r = assets.reused(plan, files).collect()
+    assert [(x.canonical_url, x.rtype, bytes(x.bytes), x.new_urls, x.not_modified) for x in r] == [("https://h/", "page", b"x", ["a", "a"], True)]
+    assert {x.action for x in manifest.planned(asked, manifest.with_freshness(known, files), fresh=True).collect()} == {"get"}
+    one = lambda u: spark.createDataFrame([(u,)], "canonical_url string")
+    assert sorted(x.canonical_url for x in manifest.visited(one("a"), one("b"), one("c"), one("a")).collect()) == ["a", "b", "c"]
+
+
+def test_sinks_refuse_and_stream(spark, tmp_path):
+    bad = spark.createDataFrame([("../out.html", bytearray(b"x"))], "path string, bytes binary")
+    with pytest.raises(Exception, match="leaves the output folder"):
+        corpus.export_files(bad, str(tmp_path / "tree"))
+    assert not (tmp_path / "out.html").exists()
+    files = spark.createDataFrame([("a.html", bytearray(b"x")), ("b.css", bytearray(b"yy"))], "path string, bytes binary")
+    assert tuple(report.file_count(files).first()) == (2, 3)
+    report.create_zip(files, to=str(tmp_path / "all.zip"))
+    import zipfile
+
+    assert zipfile.ZipFile(tmp_path / "all.zip").namelist() == ["a.html", "b.css"]
+    gone = spark.createDataFrame([("https://h/", None, 404, {}, bytearray(b""))], corpus.RESPONSES)
+    assert corpus.processed(gone).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from siteloom.operators.scratch import shared_dir
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
