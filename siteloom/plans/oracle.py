@@ -123,7 +123,7 @@ SQL = {
     "canonical_groups": f"WITH {PAGES} SELECT canonical_url, count(*) AS n, min(page_id) AS first_page FROM canon GROUP BY 1",
     "tracking_params": f"WITH {PAGES}, k AS (SELECT split_part(unnest(string_split(query, '&')), '=', 1) AS param FROM pg WHERE query IS NOT NULL) SELECT param, {_tracking('param')} AS tracking, count(*) AS n FROM k GROUP BY ALL",
     "offline_path": f"WITH {PAGES}, x AS (SELECT page_id, host, opath, ({_offline('path', 'query', chr(39) + 'page' + chr(39))}) AS pp FROM canon) SELECT page_id, opath AS own_path, '_external/' || {_bare('host')} || '/' || pp AS external_path, '/out/site/' || pp AS file FROM x",
-    "path_collisions": f"WITH {PAGES} SELECT opath AS path, count(*) AS n, string_agg(url, ',' ORDER BY url) AS urls FROM canon GROUP BY 1",
+    "path_collisions": f"WITH {PAGES} SELECT host AS site, opath AS path, count(*) AS n, string_agg(url, ',' ORDER BY url) AS urls FROM canon GROUP BY 1, 2",
     "page_links": f"WITH {LINKS} SELECT page_id, pos, href, {_RESOLVED} AS resolved FROM lk",
     "link_kinds": f"WITH {LINKS} SELECT DISTINCT {_RESOLVED} AS resolved, {_KIND} AS kind, {_rtype('lpath')} AS rtype, ({_DYN}) AS dynamic, true AS same_domain, NOT ({_DYN}) AS mirrorable, ({_ENQ}) AS enqueueable FROM lk",
     "kind_counts": f"WITH {LINKS} SELECT {_bare('host')} AS site, {_rtype('lpath')} AS rtype, count(*) AS n FROM lk GROUP BY ALL",

@@ -65,8 +65,9 @@ def offline_path(spark, sf_dir):
 
 
 def path_collisions(spark, sf_dir):
-    c = canonical(spark, sf_dir).select("path", F.col("url").alias("canonical_url"))
-    return c.groupBy("path").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("canonical_url")), ",").alias("urls"))
+    """URLs that share a file of their site's folder."""
+    c = canonical(spark, sf_dir).select(F.col("u.host").alias("site"), "path", F.col("url").alias("canonical_url"))
+    return c.groupBy("site", "path").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("canonical_url")), ",").alias("urls"))
 
 
 def page_links(spark, sf_dir):
