@@ -1,15 +1,19 @@
 """TIFF media columns: every image directory of a file becomes a page; uncompressed, PackBits, LZW and deflate strips and
 tiles are decoded, and horizontal and floating-point predictors undone.
 
-Also a writer of 8-bit pages in deflate strips, with which texts are stored losslessly, and features of the bytes read back.
+Also a writer of 8-bit pages with which texts are stored losslessly, in all of these compressions, in strips and tiles, with and without
+predictor (a text's checksum says which of FORMS it gets, so equal texts have equal files), and features of the bytes read back.
 
-Nulls: a null file has no pages; a broken file gives one row with page null and the reason in error. A null text counts as
-empty and is stored as one row of spaces. Very long texts become several pages. An empty table gives an empty result.
+Nulls: a null file has no pages. Whatever is wrong with a page gives a row with the reason in error and leaves the file's other
+pages; broken directories give one row with page null. A file's tags can't claim more pixels than its compressed bytes can hold. A null text
+counts as empty and is stored as one row of spaces. Very long texts become several pages. Repeated rows and rows that share a doc_id each get
+their rows. Extra columns, whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -53,40 +57,48 @@ def unpackbits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+#: Codes that LZW reads at once.
+_CODES = 4096
+
+
+def _widths(k: np.ndarray) -> np.ndarray:
+    """Bits of the k-th code after a clear code: one more as soon as the table, of 258 entries at first, grows to 511, 1023, 2047."""
+    return 9 + np.searchsorted([512, 1024, 2048], k + 258, "right")
+
+
 def unlzw(data: bytes, size: int) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first; widths change one code early."""
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
     first = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, last, out = list(first), 9, None, bytearray()
-    held = bits = at = 0
-    n = len(data)
-    while len(out) < size:
-        while bits < width and at < n:
-            held = held << 8 | data[at]
-            bits += 8
-            at += 1
-        if bits < width:
-            break
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 256:
-            table, width, last = list(first), 9, None
-            continue
-        if code == 257:
+    out, at, k, bits, made = [], 0, 0, 8 * len(data), 0
+    table, last = list(first), None
+    while made < size:
+        width = _widths(np.arange(k, k + _CODES))
+        begin = at + np.cumsum(width) - width
+        n = int(np.searchsorted(begin + width, bits, "right"))
+        if not n:
             break
-        if last is None:
-            if code >= len(table):
-                raise Broken("LZW code out of range")
-            word = table[code]
-        else:
-            if code > len(table):
+        byte = begin[:n] >> 3
+        codes = (raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (begin[:n] & 7) - width[:n]) & ((1 << width[:n]) - 1)
+        done = n
+        for i, code in enumerate(codes.tolist()):
+            if code == 256:
+                table, last, k, done = list(first), None, 0, i + 1
+                break
+            if code == 257 or made >= size:
+                return b"".join(out)[:size]
+            if code > len(table) or (last is None and code >= len(table)):
                 raise Broken("LZW code out of range")
             word = table[code] if code < len(table) else last + last[:1]
-            table.append(last + word[:1])
-        out += word
-        last = word
-        width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
-    return bytes(out)
+            if last is not None and len(table) < 4096:
+                table.append(last + word[:1])
+            out.append(word)
+            made += len(word)
+            last = word
+        else:
+            k += n
+        at = int(begin[done - 1] + width[done - 1])
+    return b"".join(out)[:size]
 
 
 def inflate(data: bytes, size: int) -> bytes:
@@ -96,6 +108,8 @@ def inflate(data: bytes, size: int) -> bytes:
         raise Broken(str(e)) from None
 
 
+#: The most bytes that a compressed byte can become.
+MOST = {NONE: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1032, OLD_DEFLATE: 1032}
 DECODERS = {NONE: lambda data, size: data[:size], PACKBITS: unpackbits, LZW: unlzw, DEFLATE: inflate, OLD_DEFLATE: inflate}
 
 
@@ -178,17 +192,23 @@ def _page(data: bytes, order: str, tags: dict, k: int) -> Page:
     decode = DECODERS.get(one(COMPRESSION, 1))
     if decode is None:
         raise Broken(f"compression {one(COMPRESSION)}")
-    planes = samples if one(PLANAR, 1) == 2 else 1
-    each = samples // planes
+    planes = samples if one(PLANAR, 1) == 2 and samples else 1
+    each = (samples or 0) // planes
     tiled = TILE_OFFSETS in tags
     w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, sizes = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_BYTES if tiled else STRIP_BYTES, ())
+    if not w or not h or w < 0 or h < 0:
+        raise Broken("strips or tiles of no size")
+    if not samples or samples < 0 or not 0 < bits <= 64:
+        raise Broken("samples of no size")
     across, down = -(-width // w), -(-height // h)
     if len(offsets) < across * down * planes or len(sizes) < len(offsets):
         raise Broken("strips or tiles are missing")
     if tiled and across > 1 and w * each * bits % 8:
         raise Broken("tiles of no whole bytes")
     row = (width * each * bits + 7) // 8
+    if row * height * planes > MOST[one(COMPRESSION, 1)] * (sum(min(n, len(data)) for n in sizes) + 64):
+        raise Broken("fewer bytes than pixels need")
     out = []
     for p in range(planes):
         plane = np.zeros((height, row), np.uint8)
@@ -231,10 +251,10 @@ def decoded(files: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                         try:
                             p = _page(data, order, tags, k)
                             rows.append((doc, p.page, p.width, p.height, p.samples, p.bits, p.pixels, None))
-                        except Broken as e:
-                            rows.append((doc, k, *[None] * 5, str(e)))
-                except Broken as e:  # of the directories
-                    rows = [(doc, *[None] * 6, str(e))]
+                        except Exception as e:  # whatever a page's tags can cause
+                            rows.append((doc, k, *[None] * 5, str(e) or type(e).__name__))
+                except Exception as e:  # of the directories
+                    rows = [(doc, *[None] * 6, str(e) or type(e).__name__)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -245,24 +265,88 @@ def decoded(files: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 # ---------------------------------------------------------------- texts as media
 
 
-def encoded(payload: bytes) -> bytes:
-    """8-bit RGB pages of 64 pixels a row in deflate strips; the payload is a multiple of 192 bytes."""
+def packbits(data: bytes) -> bytes:
+    """Runs of three bytes and more, and what lies between, 128 at a time."""
+    out, at = bytearray(), 0
+
+    def plain(a: int, b: int):
+        for i in range(a, b, 128):
+            part = data[i : min(i + 128, b)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for m in _RUN.finditer(data):
+        plain(at, m.start())
+        out.append(257 - len(m[0]))
+        out.extend(m[1])
+        at = m.end()
+    plain(at, len(data))
+    return bytes(out)
+
+
+def lzw(data: bytes) -> bytes:
+    codes, table, n = [256], {}, 258
+    last = data[0] if data else None
+    for c in data[1:]:
+        key = last << 8 | c
+        code = table.get(key)
+        if code is not None:
+            last = code
+            continue
+        codes.append(last)
+        table[key] = n
+        n += 1
+        if n == 4095:
+            codes.append(256)
+            table, n = {}, 258
+        last = c
+    codes = np.array([*codes, *([last] if data else []), 257])
+    clear = np.flatnonzero(codes == 256)
+    since = np.arange(len(codes)) - np.repeat(clear, np.diff(np.r_[clear, len(codes)])) - 1
+    width = _widths(np.r_[0, since[:-1] + 1])  # a clear code is as wide as what it follows asks for
+    out = np.zeros((len(codes), 12), np.uint8)
+    for k in range(12):
+        out[:, 11 - k] = codes >> k & 1
+    return np.packbits(out[np.arange(12) >= (12 - width)[:, None]]).tobytes()
+
+
+_RUN = re.compile(rb"(.)\1{2,127}", re.S)
+_PACK = {NONE: bytes, PACKBITS: packbits, LZW: lzw, DEFLATE: lambda data: zlib.compress(data, 1)}
+#: Forms of stored texts: compression, predictor, whether in tiles of TILE x TILE pixels.
+FORMS = ((NONE, 1, False), (PACKBITS, 1, False), (LZW, 1, False), (DEFLATE, 1, False), (DEFLATE, 2, False), (PACKBITS, 1, True), (LZW, 2, True), (DEFLATE, 2, True))
+TILE = 32
+
+
+def encoded(payload: bytes, form: int | None = None) -> bytes:
+    """8-bit RGB pages of 64 pixels a row; the payload is a multiple of 192 bytes, and its checksum chooses among FORMS."""
+    compression, predictor, tiled = FORMS[zlib.crc32(payload) % len(FORMS) if form is None else form]
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for a in range(0, len(payload), UNIT * PAGE_ROWS):
-        part = payload[a : a + UNIT * PAGE_ROWS]
-        strips = [zlib.compress(part[b : b + UNIT * STRIP_ROWS], 1) for b in range(0, len(part), UNIT * STRIP_ROWS)]
-        places = []
-        for s in strips:
+        page = np.frombuffer(payload, np.uint8, min(UNIT * PAGE_ROWS, len(payload) - a), a).reshape(-1, ROW, 3)
+        if tiled:
+            full = np.zeros((-(-len(page) // TILE) * TILE, ROW, 3), np.uint8)
+            full[: len(page)] = page
+            blocks = [full[y : y + TILE, x : x + TILE] for y in range(0, len(full), TILE) for x in range(0, ROW, TILE)]
+        else:
+            blocks = [page[y : y + STRIP_ROWS] for y in range(0, len(page), STRIP_ROWS)]
+        if predictor == 2:
+            blocks = [np.concatenate([b[:, :1], b[:, 1:] - b[:, :-1]], 1) for b in blocks]
+        packed, places = [_PACK[compression](b.tobytes()) for b in blocks], []
+        for x in packed:
             places.append(len(out))
-            out += s
+            out += x
         out += b"\0" * (len(out) % 2)
-        n = len(strips)
+        n = len(packed)
         extra = len(out)
-        out += struct.pack("<3H", 8, 8, 8) + b"\0\0" + struct.pack(f"<{n}I", *places) + struct.pack(f"<{n}I", *map(len, strips))
-        offsets, sizes = (extra + 8, extra + 8 + 4 * n) if n > 1 else (places[0], len(strips[0]))
+        out += struct.pack("<3H", 8, 8, 8) + b"\0\0" + struct.pack(f"<{n}I", *places) + struct.pack(f"<{n}I", *map(len, packed))
+        offsets, sizes = (extra + 8, extra + 8 + 4 * n) if n > 1 else (places[0], len(packed[0]))
         struct.pack_into("<I", out, link, len(out))
-        entries = [(WIDTH, 3, 1, ROW), (HEIGHT, 4, 1, len(part) // UNIT), (BITS, 3, 3, extra), (COMPRESSION, 3, 1, DEFLATE), (PHOTOMETRIC, 3, 1, 2), (STRIP_OFFSETS, 4, n, offsets), (SAMPLES, 3, 1, 3), (ROWS_PER_STRIP, 4, 1, STRIP_ROWS), (STRIP_BYTES, 4, n, sizes)]
-        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries)
+        entries = [(WIDTH, 3, 1, ROW), (HEIGHT, 4, 1, len(page)), (BITS, 3, 3, extra), (COMPRESSION, 3, 1, compression), (PHOTOMETRIC, 3, 1, 2), (SAMPLES, 3, 1, 3), (PREDICTOR, 3, 1, predictor)]
+        if tiled:
+            entries += [(TILE_WIDTH, 3, 1, TILE), (TILE_HEIGHT, 3, 1, TILE), (TILE_OFFSETS, 4, n, offsets), (TILE_BYTES, 4, n, sizes)]
+        else:
+            entries += [(STRIP_OFFSETS, 4, n, offsets), (ROWS_PER_STRIP, 4, 1, STRIP_ROWS), (STRIP_BYTES, 4, n, sizes)]
+        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in sorted(entries))
         link = len(out)
         out += b"\0\0\0\0"
     return bytes(out)

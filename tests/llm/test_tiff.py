@@ -166,7 +166,7 @@ def test_text_edge_cases(spark):
 
 
 def test_a_broken_page_leaves_the_others(spark):
-    data = bytearray(tiff.encoded(bytes(range(192)) * (2 * tiff.PAGE_ROWS + 5)))
+    data = bytearray(tiff.encoded(bytes(range(192)) * (2 * tiff.PAGE_ROWS + 5), 3))
     want = list(tiff.pages(bytes(data)))
     assert len(want) == 3
     at = struct.unpack_from("<I", data, 4)[0]
@@ -175,3 +175,46 @@ def test_a_broken_page_leaves_the_others(spark):
     struct.pack_into("<H", data, entry + 8, 7)  # JPEG
     got = tiff.decoded(spark.createDataFrame([(5, data)], "doc_id long, media binary")).collect()
     assert [(r.page, bytes(r.pixels) if r.pixels is not None else None, r.error) for r in got] == [(0, want[0].pixels, None), (1, None, "compression 7"), (2, want[2].pixels, None)]
+
+
+@pytest.mark.parametrize("form", range(len(tiff.FORMS)))
+def test_every_form_of_stored_texts(form):
+    rng = np.random.default_rng(form)
+    for raw in (b" " * 192, rng.integers(0, 256, 192 * 700).astype(np.uint8).tobytes(), b"ab  c" * 192 * 40, b"x" * 192 * (tiff.PAGE_ROWS + 33)):
+        data = tiff.encoded(raw, form)
+        compression, predictor, tiled = tiff.FORMS[form]
+        for _, tags in tiff.directories(data):
+            assert (tags[tiff.COMPRESSION], tags[tiff.PREDICTOR], tiff.TILE_WIDTH in tags) == ((compression,), (predictor,), tiled)
+        assert b"".join(p.pixels for p in tiff.pages(data)) == raw
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 253, 254, 255, 3835, 3836, 3837, 3838, 9000])
+def test_lzw_at_the_edges_of_its_widths(n):
+    data = np.random.default_rng(n).permutation(np.arange(n) % 251).astype(np.uint8).tobytes()
+    assert tiff.unlzw(tiff.lzw(data), n) == data == tiff.unlzw(lzw(data), n)
+
+
+def test_all_forms_occur_in_the_query(spark):
+    media = tiff.stored_texts(spark.read.parquet(f"{DATA}/documents.parquet"))
+    kinds = {(t[tiff.COMPRESSION][0], t[tiff.PREDICTOR][0], tiff.TILE_WIDTH in t) for r in media.collect() for _, t in tiff.directories(r.media)}
+    assert kinds == set(tiff.FORMS)
+
+
+def test_any_damage_gives_rows_and_no_failure(spark):
+    good = [tiff.encoded(bytes(range(192)) * 40, f) for f in range(len(tiff.FORMS))]
+    rng = np.random.default_rng(9)
+    files = []
+    for data in good:
+        at = struct.unpack_from("<I", data, 4)[0]
+        for k in range(struct.unpack_from("<H", data, at)[0]):
+            for value in (0, 1, 0xFFFF, 0xFFFFFFFF):  # any tag's value; RowsPerStrip 0 and TileWidth 0 among them
+                bad = bytearray(data)
+                struct.pack_into("<I", bad, at + 2 + 12 * k + 8, value)
+                files.append(bytes(bad))
+        for _ in range(20):
+            bad = bytearray(data)
+            for i in rng.integers(0, len(bad), 5).tolist():
+                bad[i] = int(rng.integers(0, 256))
+            files.append(bytes(bad))
+    got = tiff.decoded(spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")).collect()
+    assert {r.doc_id for r in got} == set(range(len(files))) and any(r.error for r in got)
