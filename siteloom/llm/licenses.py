@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line or, as notices are mostly wrapped, a window of consecutive words across line ends, half as many again as the
-template has distinct words. It matches a template when it holds at least THRESHOLD of the template's distinct words. The words of all
+Templates are short notices and whole license texts. A block is a line or, as notices are mostly wrapped, a window of consecutive words
+across line ends, half as many again as the template has words. It matches a template when it holds at least THRESHOLD of the template's distinct words. The words of all
 templates are ordered by how often they occur in the corpus, rarest first. A block that matches must hold one of the
 template's first |T| - need + 1 words (prefix filter), at least `need` template words (length filter), and from the places of
 the first common word in both orders enough words must still follow (positional filter). Those that pass are counted
@@ -9,8 +9,9 @@ exactly, so no match is lost; windows are counted only around prefix words. Only
 
 Beside it, places where fixed phrases stand word by word are found.
 
-Nulls: a null text is empty and has no words; a null doc_id stays. Repeated rows get equal results. An empty table gives an
-empty result.
+Nulls: a null text is empty and has no words; a null doc_id stays. Repeated rows and rows of one doc_id each get their row, by their own
+text. Ties between templates: all that match are named, the best containment is the score. Very long texts are scanned whole. Extra columns,
+whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,46 @@ from . import common
 THRESHOLD = 0.8
 #: Fixed phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates: short notices and opening sentences of public licenses.
+#: Texts of public licenses.
+TEXTS = {
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
+        "OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-2-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        '"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A '
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+        "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+        "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "isc-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD '
+        "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE "
+        "OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter "
+        "it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim "
+        "that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but "
+        "is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This "
+        "notice may not be removed or altered from any source distribution."
+    ),
+}
+#: Templates: these, short notices and opening sentences of public licenses.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
@@ -41,6 +81,7 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
     "isc-notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "all-rights-reserved": "Copyright holder. All rights reserved",
+    **TEXTS,
 }
 #: Letters A-Z become small; anything in ASCII but letters and digits becomes a space, a line's end stays one.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 10 else 32 for c in range(256))
@@ -55,9 +96,13 @@ def template_sets(templates=TEMPLATES) -> dict[str, frozenset[bytes]]:
 
 
 class Scanner:
-    """Templates in global order, with an index from prefix words to templates."""
+    """Templates in global order, with an index from prefix words to templates.
+
+    A window has half as many words again as its template's text, given by name in lengths (else as its distinct words).
+    """
 
-    def __init__(self, templates: dict[str, frozenset[bytes]], counts: dict[bytes, int], threshold: float = THRESHOLD):
+    def __init__(self, templates: dict[str, frozenset[bytes]], counts: dict[bytes, int], threshold: float = THRESHOLD, lengths: dict[str, int] | None = None):
+        lengths = lengths or {}
         order = sorted(set().union(*templates.values()), key=lambda w: (counts.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
         self.templates, self.index = [], {}
@@ -66,6 +111,7 @@ class Scanner:
             for place, r in enumerate(ranks[: len(ranks) - need + 1]):
                 self.index.setdefault(r, []).append((len(self.templates), place))
             self.templates.append((name, frozenset(ranks), len(ranks), need))
+        self.width = [n + n // 2 for n in (lengths.get(name, size) for name, _, size, _ in self.templates)]
         self.words = [frozenset(order[r] for r in ranks) for _, ranks, _, _ in self.templates]
         self.first = frozenset(order[r] for r in self.index)
         self.vocabulary = frozenset(order)
@@ -89,7 +135,6 @@ class Scanner:
                         out[name] = both / size
         return out
 
-
     def wrapped(self, flat: list[bytes]) -> dict[str, float]:
         """Template -> containment in the best window of all words, of those that meet the threshold."""
         at: dict[int, list[int]] = {}
@@ -100,14 +145,22 @@ class Scanner:
         out = {}
         for t, places in at.items():
             name, _, size, need = self.templates[t]
-            width, best = size + size // 2, 0
-            for i in places:
-                last: dict[bytes, int] = {}  # where each of the template's words was last seen
-                for j in range(max(0, i - width + 1), min(len(flat), i + width)):
-                    if flat[j] in self.words[t]:
-                        last[flat[j]] = j
-                        if len(last) >= need:
-                            best = max(best, sum(k > j - width for k in last.values()))
+            own, width, best, begin, end = self.words[t], self.width[t], 0, 0, 0
+            held: dict[bytes, int] = {}
+            for i in places:  # stretches of windows around prefix words, each place once
+                first, last = max(end, i - width + 1, 0), min(len(flat), i + width)
+                if first > end or not end:
+                    held, begin = {}, first
+                for j in range(first, last):
+                    gone = flat[j - width] if j - width >= begin else None
+                    if gone in held:
+                        held[gone] -= 1
+                        if not held[gone]:
+                            del held[gone]
+                    if flat[j] in own:
+                        held[flat[j]] = held.get(flat[j], 0) + 1
+                        best = max(best, len(held))
+                end = max(end, last)
             if best >= need:
                 out[name] = best / size
         return out
@@ -146,7 +199,8 @@ def counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
 def scan(docs: DataFrame, templates=None, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: phrases, labels of matching blocks, and the best containment of any block."""
     sets = templates or template_sets()
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner(sets, counts(docs, frozenset().union(*sets.values())), threshold))
+    lengths = {} if templates else {name: len(words(t)) for name, t in TEMPLATES.items()}
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(sets, counts(docs, frozenset().union(*sets.values())), threshold, lengths))
 
     def run(batches):
         scanner = shared.value

@@ -71,3 +71,20 @@ def test_windows_lose_nothing():
             if c >= 0.8 - 1e-12:
                 want[n] = c
         assert scanner.wrapped(flat) == want
+
+
+def test_whole_license_texts_wrapped_and_changed(spark):
+    rng, texts, names = random.Random(7), [], sorted(licenses.TEXTS)
+    for name in names:
+        ws = licenses.TEXTS[name].split()
+        for lost in (0, len(ws) // 20):
+            own = list(ws)
+            for _ in range(lost):
+                own[rng.randrange(len(own))] = "other"
+            lines = [" * " + " ".join(own[i : i + 9]) for i in range(0, len(own), 9)]
+            texts.append("int main() {}\n/*\n" + "\n".join(lines) + "\n */\nint rest;")
+    got = {r.doc_id: r for r in licenses.scan(table(spark, texts)).collect()}
+    for i in range(len(texts)):
+        assert names[i // 2] in got[i].labels.split(",") and got[i].score >= 0.8
+    clean = licenses.scan(table(spark, ["the software is what we use and the copyright of this notice is not in any way our own " * 40])).first()
+    assert not set(clean.labels.split(",")) & set(names)
