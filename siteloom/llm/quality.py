@@ -1,12 +1,15 @@
 """Quality rules: fixed base rules, then a calibrated logistic regression on hashed word and character n-grams.
 
 Features: words, word pairs and 4-grams of characters (bytes of the lower-cased UTF-8 text), hashed to 2^18 weights each;
-a text's score is the mean weight of each kind, added up. Training takes at most TRAIN_ROWS labelled documents, those of
-smallest hash (the bound is a parameter); a fifth of them is held out and calibrates the probability. Scoring runs in Arrow
-batches over whole texts against a fixed threshold.
+a text's score is the mean weight of each kind, added up. Training takes labelled documents in the order of a hash, at most TRAIN_ROWS
+of them and as many as fit into TRAIN_BYTES of text together (both bounds are parameters); a fifth of them is held out and calibrates the
+probability. The driver gets the distinct features of these documents with their shares. Scoring runs in Arrow batches over whole
+texts against a fixed threshold.
 
 Nulls: a null text has no words and fails the base rules. Labels with a null in them are left out; with no labels, or labels
-of one kind, the base rules decide alone. Repeated rows get the same verdict. An empty table gives an empty result.
+of one kind, the base rules decide alone. Repeated rows get the same verdict; rows of one doc_id with other texts are judged each by its
+text, and share their label in training. Ties in the order of training are settled by doc_id and the text's hash. Very long texts are
+judged whole. Extra columns, whatever their names, pass through the stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ SYMBOLS = b"#*$%&|<>"
 
 BITS = 18
 TRAIN_ROWS = 4000
+TRAIN_BYTES = 24 << 20
 EPOCHS = 8
 THRESHOLD = 0.3
 #: Bytes of text judged at a time; the n-grams of a slice take some fifty times as much memory.
@@ -83,37 +87,45 @@ def scores(model: Model, split: list[list[bytes]], raw: list[bytes]) -> np.ndarr
 
 
 def _training_rows(batches):
+    """Distinct features of each text (kind and slot in one number) and their shares of the kind."""
     for batch in common.slices(batches, 1 << 20):
         raw = [t.lower() for t in common.texts(batch)]
-        parts = list(_features([t.split() for t in raw], raw))
-        rows = [b"".join(x) for x in zip(*([s[e - n : e].astype(np.int32).tobytes() for e, n in zip(np.cumsum(c).tolist(), c.tolist())] for s, c in parts))]
-        counts = np.stack([c for _, c in parts], 1)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary()), pa.array(counts.tolist(), pa.list_(pa.int64()))], ["doc_id", "label", "slots", "counts"])
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int = BITS) -> Model | None:
-    """Fits on at most `rows` labelled documents; None where there is nothing to learn from."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
+        slots, shares = [[] for _ in raw], [[] for _ in raw]
+        for k, (flat, counts) in enumerate(_features([t.split() for t in raw], raw)):
+            for i, (end, n) in enumerate(zip(np.cumsum(counts).tolist(), counts.tolist())):
+                own, times = np.unique(flat[end - n : end], return_counts=True)
+                slots[i].append((own + (k << BITS)).astype(np.int32))
+                shares[i].append((times / max(n, 1)).astype(np.float32))
+        joined = lambda x: pa.array([np.concatenate(y).tobytes() for y in x], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), batch.column("label"), joined(slots), joined(shares)], ["doc_id", "t", "label", "slots", "shares"])
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model | None:
+    """Fits on at most `rows` labelled documents of `most_bytes` together; None where there is nothing to learn from."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("long").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(rows)  # so few rows that they may be broadcast
-    texts = common.id_text(docs).join(F.broadcast(chosen.withColumn("label", F.col("label").cast("long"))), "doc_id")
-    got = texts.mapInArrow(common.tidied(_training_rows), "doc_id long, label long, slots binary, counts array<long>").toArrow()
+    texts = common.id_text(docs).join(F.broadcast(chosen), "doc_id").withColumn("t", F.xxhash64("text"))
+    order = (F.xxhash64("doc_id", F.lit("quality")), "doc_id", "t")
+    sizes = texts.select("doc_id", "t", F.octet_length("text").alias("n")).orderBy(*order).limit(rows).collect()  # whatever repeats an id has
+    taken, left = set(), most_bytes
+    for r in sizes:
+        if r.n <= left and (r.doc_id, r.t) not in taken:
+            taken.add((r.doc_id, r.t))
+            left -= r.n
+    few = docs.sparkSession.createDataFrame(sorted(taken), "doc_id long, t long")
+    texts = texts.join(F.broadcast(few), ["doc_id", "t"])
+    texts = texts.groupBy("doc_id", "t").agg(F.first("label").alias("label"), F.first("text").alias("text"))  # a text counts once
+    got = texts.mapInArrow(common.tidied(_training_rows), "doc_id long, t long, label long, slots binary, shares binary").toArrow()
     if got.num_rows == 0:
         return None
-    got = got.sort_by("doc_id")
+    got = got.sort_by([("doc_id", "ascending"), ("t", "ascending")])
     y = (got.column("label").to_numpy() > 0).astype(np.float64)
     if y.min() == y.max():
         return None
     rest = np.asarray(got.column("doc_id").to_numpy()) % 5 == 0
-    rows_ = []
-    for blob, counts in zip(got.column("slots").to_pylist(), got.column("counts").to_pylist()):
-        flat, out, a = np.frombuffer(blob, np.int32), [], 0
-        for k, n in enumerate(counts):
-            slots, times = np.unique(flat[a : a + n], return_counts=True)
-            out.append((slots + np.int32(k << bits), (times / max(n, 1)).astype(np.float32)))
-            a += n
-        rows_.append((np.concatenate([s for s, _ in out]), np.concatenate([x for _, x in out])))
+    rows_ = [(np.frombuffer(s, np.int32), np.frombuffer(x, np.float32)) for s, x in zip(got.column("slots").to_pylist(), got.column("shares").to_pylist())]
     del got
-    w, g, bias, gb = np.zeros(3 << bits), np.full(3 << bits, 1e-8), 0.0, 1e-8
+    w, g, bias, gb = np.zeros(3 << BITS), np.full(3 << BITS, 1e-8), 0.0, 1e-8
     fit, rng = np.flatnonzero(~rest) if rest.sum() >= 20 and 0 < y[rest].mean() < 1 else np.arange(len(y)), np.random.default_rng(7)
     for _ in range(EPOCHS):
         for i in rng.permutation(fit).tolist():

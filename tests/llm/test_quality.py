@@ -64,3 +64,42 @@ def test_stage_nulls_ties_and_missing_labels(spark, tmp_path):
     kept = quality.stage(spark, df, str(tmp_path))
     assert kept.schema == df.schema and [r.doc_id for r in kept.collect()] == [1, 1, None]
     assert quality.stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_training_is_bounded_by_bytes_and_by_rows(spark):
+    """An id with very many rows, and a text longer than all that training may hold."""
+    rng = np.random.default_rng(5)
+    text = lambda k: " ".join(f"{'good' if k % 2 else 'bad'}{rng.integers(0, 30)}" for _ in range(80))
+    rows = [(k, text(k)) for k in range(120)] + [(7, text(7)) for _ in range(500)] + [(9, "huge " * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int")
+    model = quality.train(docs, labels, rows=300, most_bytes=100_000)
+    p = {r.text: r.probability for r in quality.verdicts(docs.limit(120), model).join(docs.limit(120), "doc_id").collect()}
+    assert all((x >= 0.5) == t.startswith("good") for t, x in p.items())
+    again = quality.train(docs.repartition(7), labels, rows=300, most_bytes=100_000)
+    assert np.array_equal(model.weights, again.weights)
+    assert quality.train(docs, labels, most_bytes=0) is None
+
+
+def test_verdict_is_rederived_from_the_model(spark):
+    """kept follows from the model's weights by plain counting of n-grams."""
+    docs, labels = common.documents(spark, "/root/testdata/sf0.001"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.train(docs, labels)
+    rows = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    import xxhash
+
+    def mean(slots, w):
+        return sum(float(w[s]) for s in slots) / max(len(slots), 1)
+
+    m64 = (1 << 64) - 1
+    mix = lambda x: int(common.mix64(np.array([x], np.uint64))[0])
+    times = [int(x) for x in common.multipliers(2, seed=2)]
+    for r in quality.verdicts(docs, model).collect()[:60]:
+        low = rows[r.doc_id].lower()
+        hs = [xxhash.xxh64_intdigest(w) for w in low.split()]
+        ones = [mix(h) >> 46 for h in hs]
+        twos = [mix((a * times[0] + b * times[1]) & m64) >> 46 for a, b in zip(hs, hs[1:])]
+        fours = [(int.from_bytes(low[i : i + 4], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 14 for i in range(len(low) - 3)]
+        z = sum(mean(s, w) for s, w in zip((ones, twos, fours), model.weights))
+        p = 1 / (1 + np.exp(-(model.slope * (z + model.bias) + model.shift)))
+        assert abs(p - r.probability) < 1e-4 and (r.kept == (not r.base_failed and r.probability >= quality.THRESHOLD))
