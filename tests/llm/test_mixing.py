@@ -20,14 +20,16 @@ def slow_targets(sizes):
     return {s: min(3 * sizes[s], w[s] * lo) for s in order}
 
 
-def test_targets_equal_a_common_level():
+def test_targets_equal_a_common_level(spark):
     rng = np.random.default_rng(2)
-    for n in (1, 2, 3, 7, 20):
-        sizes = {f"s{i}": int(rng.integers(0, 1000)) ** 2 for i in range(n)} | {None: 50}
-        got, want = mixing.targets(sizes), slow_targets(sizes)
-        assert all(got[s] == pytest.approx(want[s], rel=1e-6, abs=1e-6) for s in sizes)
+    for n in (1, 2, 3, 7, 300):
+        sizes = {f"s{i}é": int(rng.integers(0, 1000)) ** 2 for i in range(n)} | {None: 50, "": 7}
+        rows = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, n long").repartition(5)).collect()
+        got, want = {r.source: r.target for r in rows}, slow_targets(sizes)
+        assert [r.source for r in sorted(rows, key=lambda r: r.rank)] == sorted(sizes, key=lambda s: (s is None, s or ""))
+        assert len(rows) == len(sizes) and all(got[s] == pytest.approx(want[s], rel=1e-6, abs=1e-6) for s in sizes)
         assert sum(got.values()) == pytest.approx(sum(sizes.values()))
-    assert mixing.targets({}) == {}
+    assert mixing.targets(spark.createDataFrame([], "source string, n long")).count() == 0
 
 
 def test_query(spark):
@@ -49,11 +51,36 @@ def test_query(spark):
         longest = max(len((d.text or "").encode().split()) for d in docs.values() if d.source == s)
         assert abs(n - want[s]) <= 2 * longest
     assert sorted(map(str, rows)) == sorted(map(str, mixing.query(spark, DATA).collect()))
+    # copies and positions, derived anew: an axis of hash buckets, then the inverse of the schedule
+    import xxhash
+
+    def place(d):
+        h = xxhash.xxh64_intdigest(b"mix", xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42)) >> 24
+        return h >> 28, (h & (1 << 28) - 1) / (1 << 28)
+
+    order, in_bucket = sorted(sizes, key=lambda s: (s is None, s or "")), {}
+    for d in docs.values():
+        key = d.source, place(d.doc_id)[0]
+        in_bucket[key] = in_bucket.get(key, 0) + len((d.text or "").encode().split())
+    for r in rows:
+        s = docs[r.doc_id].source
+        b, rest = place(r.doc_id)
+        at = sum(n for (x, k), n in in_bucket.items() if x == s and k < b) + rest * in_bucket[s, b]
+        places = [at + e * sizes[s] for e in range(3) if at + e * sizes[s] < want[s]] if r.size else []
+        assert r.copies == len(places) == len(r.positions)
+        knots = mixing.SCHEDULES[order.index(s) % 3]
+        for t, y in zip(r.positions, places):
+            grid = [i / 2000 for i in range(2001)]
+            w = np.interp(grid, [k[0] for k in knots], [k[1] for k in knots])
+            demand = np.r_[0, np.cumsum((w[1:] + w[:-1]) / 2)]
+            assert t == pytest.approx(float(np.interp(y / want[s], demand / demand[-1], grid)), abs=1e-3)
+    first = [r.first_position for r in mixing.query(spark, DATA).collect() if r.first_position is not None]
+    assert first == sorted(first)
 
 
 def test_positions_invert_the_schedule(spark):
-    for rank in range(3):
-        pieces = mixing.integrated(mixing.schedule(rank))
+    for knots in mixing.SCHEDULES:
+        pieces = mixing.integrated(knots)
         frame = spark.createDataFrame([(y / 50, [tuple(p) for p in pieces]) for y in range(51)], "y double, pieces array<struct<t0:double,width:double,w0:double,slope:double,before:double>>")
         for r in frame.select("y", mixing.position(frame["y"], frame["pieces"]).alias("t")).collect():
             t0, _, w0, slope, before = max(p for p in pieces if p[0] <= r.t)
