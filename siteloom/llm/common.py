@@ -82,9 +82,14 @@ def drop(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
-def sweep(spark: SparkSession, *keep: DataFrame) -> None:
-    """Deletes every table that this process has stored, but for some. For callers that have used an operator's result up."""
-    stay = {getattr(t, "_scratch_path", None) for t in keep}
+def tables() -> frozenset[str]:
+    """Paths of what this process has stored and not dropped."""
+    return frozenset(_made)
+
+
+def sweep(spark: SparkSession, *keep: DataFrame, since: frozenset[str] = frozenset()) -> None:
+    """Deletes the tables that this process has stored since then, but for some. For callers that have used an operator's result up."""
+    stay = since | {getattr(t, "_scratch_path", None) for t in keep}
     for path in [p for p in _made if p not in stay]:
         _delete(spark, path)
 
