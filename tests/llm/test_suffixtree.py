@@ -53,7 +53,7 @@ def slow_model(texts, p_min, gain, prior):
 
 
 def test_scores_equal_brute_force(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()][:60]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     train = [(d, t) for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1]
     slow = slow_model([t for _, t in train], suffixtree.P_MIN, suffixtree.GAIN, suffixtree.PRIOR)
@@ -91,7 +91,7 @@ def test_edge_cases(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and r.score == pytest.approx(4 * math.log10(1 / 256)) for r in got)
 
 
-def slow_word_model(texts, depth, least, gain, byte_model):
+def slow_word_model(texts, depth, least, least_next, gain, byte_model):
     """The tree over words from plain dictionaries."""
     seqs = [[b"", *words(t), b""] for t in texts]
     counts = {}
@@ -102,21 +102,25 @@ def slow_word_model(texts, depth, least, gain, byte_model):
     root = counts.get((), Counter())
     n, v = sum(root.values()), len(root)
 
+    def parts(c):
+        own = {w: k for w, k in counts[c].items() if k >= least_next}
+        m = sum(counts[c].values())
+        return own, m, (len(own) + m - sum(own.values())) / (m + len(own))
+
     def p(c, w):
         if not c:
             if w in root:
                 return root[w] / (n + v)
             return 10 ** byte_model.word_scores([w])[0] * (v / (n + v) if n else 1)
-        own = counts[c]
-        m, t = sum(own.values()), len(own)
-        return (own[w] + t * p(c[1:], w)) / (m + t)
+        own, m, rest = parts(c)
+        return own.get(w, 0) / (m + len(own)) + rest * p(c[1:], w)
 
     kept = set()
-    for c, own in counts.items():
-        m, t = sum(own.values()), len(own)
+    for c in counts:
+        own, m, rest = parts(c)
         if c and m >= least:
-            b, seen = t / (m + t), [(p(c, w), p(c[1:], w)) for w in own]
-            if m * (sum(x * math.log(x / y) for x, y in seen) + b * (1 - sum(y for _, y in seen)) * math.log(b)) >= gain:
+            seen = [(p(c, w), p(c[1:], w)) for w in own]
+            if m * (sum(x * math.log(x / y) for x, y in seen) + rest * (1 - sum(y for _, y in seen)) * math.log(rest)) >= gain:
                 kept |= {c[k:] for k in range(len(c))}
 
     def score(t):
@@ -126,19 +130,28 @@ def slow_word_model(texts, depth, least, gain, byte_model):
             out += math.log10(p(tuple(s[i - d : i]), s[i]))
         return out
 
+    # with the root, a few contexts add up to one over all words and what is new
+    for c in [(), *list(kept)[:20]]:
+        assert sum(p(c, w) for w in root) + (v / (n + v)) * math.prod(parts(c[k:])[2] for k in range(len(c))) == pytest.approx(1)
     return score, kept
 
 
-def test_word_contexts_equal_brute_force(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()][:60]
-    rows += [(1000, None), (1001, ""), (1002, rows[3][1]), (None, "x y")]
+@pytest.mark.parametrize("often", [1, 50, 1 << 16])
+def test_word_contexts_equal_brute_force(spark, often):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    rows += [(1000, None), (1001, ""), (1002, rows[3][1]), (None, "x y"), (1000, rows[5][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     train = [t for d, t in rows if not suffixtree.held_out(d)]
-    slow, kept = slow_word_model(train, 3, 10, suffixtree.GAIN, suffixtree.train(common.id_text(df)))
-    got = suffixtree.scored(df, 3, 10).collect()
+    vocab = spark.createDataFrame([(w,) for w in {w for t in train for w in words(t)}], "text binary")
+    slow, kept = slow_word_model(train, 3, 10, 4, suffixtree.GAIN, suffixtree.train(vocab, lists=suffixtree._spelled))
+    got = suffixtree.scored(df, 3, 10, 4, often, often).collect()
     assert len(got) == len(rows) and {len(c) for c in kept} == {1, 2, 3}
-    texts = dict(rows)
-    assert all(r.score == pytest.approx(slow(texts[r.doc_id]), rel=1e-6) for r in got)
+    want = Counter((d, round(slow(t), 4)) for d, t in rows)
+    assert Counter((r.doc_id, round(r.score, 4)) for r in got) == want
+    c = Counter(w for t in train for w in [*words(t), b""])
+    n, v = sum(c.values()), len(c)
+    base = lambda t: sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*words(t), b""])
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == Counter((d, len(words(t)) + 1, sum(c[w] > 0 for w in [*words(t), b""]), n, round(base(t), 6)) for d, t in rows)
     assert suffixtree.scored(table(spark, []), 3).count() == 0
 
 
@@ -148,7 +161,16 @@ def test_word_contexts_grow_with_the_corpus_and_beat_the_byte_tree(spark):
         own = common.id_text(common.documents(spark, d))
         vocab = suffixtree.vocabulary(own)
         n, v = vocab.selectExpr("sum(c)", "count(*)").first()
-        kept.append(suffixtree.word_tree(own, vocab, n, v)[0].count())
+        kept.append(suffixtree.word_tree(own, vocab, n, v).where("whole").count())
     assert kept[1] > 3 * kept[0] > 0
     held = lambda df: df.where("held_out").selectExpr("sum(score)").first()[0]
     assert held(suffixtree.query(spark, d)) > held(suffixtree.scored(common.documents(spark, d)))
+
+
+def test_bounds_hold_at_most_so_many(spark):
+    rows = [(int(n),) for n in np.random.default_rng(1).zipf(1.3, 500).clip(1, 10**6)]
+    counts = spark.createDataFrame(rows, "n long")
+    for most in (0, 1, 7, 100, 499, 500, 10_000):
+        bound = suffixtree._bound(counts, most)
+        assert sum(n >= bound for n, in rows) <= most
+    assert suffixtree._bound(counts, 500) == min(n for n, in rows)
