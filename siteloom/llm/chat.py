@@ -7,15 +7,16 @@ texts apart by a separator; blocks are concatenated:
 
 Control strings begin with "<|". In a text, every "<", any backslashes and "|" in a row get one more backslash, so no text
 holds "<|", and taking one backslash away restores it. Roles are URL-encoded, which leaves ordinary names alone. parsed()
-reads turns and loss texts back from the output.
+reads turns and loss texts back from the output, the latter by the mask's places in the formatted text.
 
 Nulls: a null text is empty, a null role is the empty role, rows with a null conversation form one conversation, null turns
-come first. Ties in turn are settled by role and text; repeated rows are repeated turns. An empty table gives an empty result.
+come first. Ties in turn are settled by role and text; repeated rows are repeated turns. Very long texts stay whole; a conversation is one
+row, so it must fit into one. Extra columns, whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common  # noqa: F401
@@ -34,29 +35,33 @@ def unescaped(text: Column) -> Column:
 
 
 def formatted(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """(conv_id, formatted, segments): segments are the pieces of the formatted text in order, each with its loss flag."""
-    turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    """(conv_id, formatted, loss): loss has the (start, length) in the formatted text of each text of the loss role, in order, from 0."""
+    own = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # where each turn's text will stand: the lengths of all that comes before, summed along the conversation
+    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    opens = F.coalesce(F.lag("role").over(in_order) != F.col("role"), F.lit(True))
+    closes = F.coalesce(F.lead("role").over(in_order) != F.col("role"), F.lit(True))
+    before = F.when(opens, F.length(F.url_encode("role")) + len(START) + 1).otherwise(len(SEP))
+    own = own.withColumn("before", before).withColumn("body", F.length(escaped(F.col("text")))).withColumn("after", F.when(closes, len(END)).otherwise(0))
+    ends = F.sum((F.col("before") + F.col("body") + F.col("after")).cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    own = own.withColumn("start", ends - F.col("after") - F.col("body"))
+    rows = own.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "start", "body"))).alias("t"))
     t, n = F.col("t"), F.size("t")
     begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(t, i)["role"] != F.element_at(t, F.greatest(i - 1, F.lit(1)))["role"]))
     rows = rows.withColumn("b", begins)
     b = F.col("b")
     blocks = F.transform(b, lambda i, k: F.slice(t, i, F.coalesce(F.get(b, k + 1), n + 1) - i))
-    rows = rows.select("conv_id", blocks.alias("blocks"))
 
-    def pieces(block: Column) -> Column:
-        role = F.element_at(block, 1)["role"]
-        loss = role == loss_role
-        texts = F.flatten(F.transform(block, lambda x, k: F.array(F.struct(F.when(k > 0, SEP).otherwise("").alias("piece"), F.lit(False).alias("loss")), F.struct(escaped(x["text"]).alias("piece"), loss.alias("loss")))))
-        head = F.array(F.struct(F.concat(F.lit(START), F.url_encode(role), F.lit("\n")).alias("piece"), F.lit(False).alias("loss")))
-        return F.concat(head, texts, F.array(F.struct(F.lit(END).alias("piece"), F.lit(False).alias("loss"))))
+    def joined(block: Column) -> Column:
+        texts = F.array_join(F.transform(block, lambda x: escaped(x["text"])), SEP)
+        return F.concat(F.lit(START), F.url_encode(F.element_at(block, 1)["role"]), F.lit("\n"), texts, F.lit(END))
 
-    rows = rows.select("conv_id", F.filter(F.flatten(F.transform("blocks", pieces)), lambda s: (s["piece"] != "") | s["loss"]).alias("segments"))
-    return rows.select("conv_id", F.array_join(F.transform("segments", lambda s: s["piece"]), "").alias("formatted"), "segments")
+    loss = F.transform(F.filter("t", lambda x: x["role"] == loss_role), lambda x: F.struct(x["start"].alias("start"), x["body"].alias("length")))
+    return rows.select("conv_id", F.array_join(F.transform(blocks, joined), "").alias("formatted"), loss.alias("loss"))
 
 
 def parsed(out: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns array<struct<role,text>>, loss array<string>), read back from the formatted rows."""
+    """(conv_id, formatted, turns array<struct<role,text>>, loss array<string>), read back from the formatted text alone; the mask cuts the loss out."""
     block = r"<\|im_start\|>"
     blocks = F.filter(F.split("formatted", block), lambda x: x != "")
 
@@ -66,7 +71,7 @@ def parsed(out: DataFrame) -> DataFrame:
         body = F.left(body, F.length(body) - len(END))
         return F.transform(F.split(body, r"<\|im_sep\|>"), lambda y: F.struct(role.alias("role"), unescaped(y).alias("text")))
 
-    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["piece"]))
+    loss = F.transform("loss", lambda x: unescaped(F.substr(F.col("formatted"), (x["start"] + 1).cast("int"), x["length"])))
     return out.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns)).alias("turns"), loss.alias("loss"))
 
 
