@@ -50,7 +50,7 @@ WORD_DEPTH, LEAST, LEAST_NEXT = 2, 50, 10
 #: How many of the commonest words, and of the commonest contexts and pairs, are broadcast.
 COMMON_WORDS, COMMON_KEYS = 1 << 18, 1 << 21
 #: Training tokens for each bucket in which pairs are counted, and tokens for each in which questions are answered.
-PAIRS, QUESTIONS = 1 << 20, 1 << 23
+PAIRS, QUESTIONS = 1 << 20, 1 << 22
 #: Bytes of text in a chunk.
 CHUNK = 4 << 20
 _PAD = bytes([END]) * DEPTH
@@ -342,8 +342,8 @@ def _unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
 
 
 def _bits(tokens: int, each: int) -> int:
-    """Buckets, as a power of two, so that each has about so many of the tokens."""
-    return max(2, min(30, (max(1, tokens // each) - 1).bit_length()))
+    """Buckets, as a power of two and 32 at least, so that each has about so many of the tokens."""
+    return max(5, min(30, (max(1, tokens // each) - 1).bit_length()))
 
 
 def _stretches(hashes: np.ndarray, bits: int) -> dict[int, tuple[int, int]]:
