@@ -16,7 +16,9 @@ _LABELS = {"gb2312": "gbk", "x-gbk": "gbk", "iso-8859-1": "cp1252", "latin1": "c
 def sniff_meta_charset(body: Column) -> Column:
     """Label in a meta tag of the first 2048 bytes, null if there is none."""
     head = F.lower(F.make_valid_utf8(F.substring(body, 1, 2048).cast("string")))
-    return F.nullif(F.regexp_extract(head, r"<meta[^>]*charset\s*=\s*[\"']?([a-z0-9_\-:.]+)", 1), F.lit(""))
+    tags = F.filter(F.regexp_extract_all(head, F.lit("<meta([^>]*)"), F.lit(1)), lambda t: t.contains("charset"))
+    labels = F.transform(tags, lambda t: F.regexp_extract(F.get(F.split(t, "charset", 2), F.lit(1)), r"^\s*=[\s\"']*([^\s\"'/;,]+)", 1))
+    return F.get(F.filter(labels, lambda x: x != ""), F.lit(0))
 
 
 def header_charset(content_type: Column) -> Column:

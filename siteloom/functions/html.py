@@ -44,7 +44,7 @@ def unescaped(s: Column) -> Column:
 
 def anchor_hrefs(html: Column) -> Column:
     """href of a elements, then of area elements, in order, repeats kept."""
-    clean = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>", "")
+    clean = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
     of = lambda tag: F.transform(matches(clean, rf"(?is)<{tag}\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), lambda v: unescaped(F.regexp_replace(v, r"(?s)^([\"'])(.*)\1$", "$2")))
     return F.concat(of("a"), of("area"))
 

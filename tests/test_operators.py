@@ -14,10 +14,10 @@ from siteloom.streaming import captures
 
 
 def test_closure(spark):
-    files = [("index.html", '<link href="css/style.css"><img src="logo.png"><a href="nl/">'), ("css/style.css", ""), ("logo.png", "x"), ("nl/index.html", '<a href="../index.html"><img src="../logo.png"><a href="../../outside.html"><a href="missing.png"><a href="/root"><a href="..">')]
+    files = [("index.html", '<link href="look/main.css"><img src="mark.png"><a href="de/">'), ("look/main.css", ""), ("mark.png", "x"), ("de/index.html", '<a href="../index.html"><img src="../mark.png"><a href="../../away.html"><a href="gone.png"><a href="/root"><a href="..">')]
     df = spark.createDataFrame(files, "path string, text string")
     got = {(r.path, r.ref): r.status for r in closure.checked(df).collect()}
-    assert got == {("index.html", "css/style.css"): "ok", ("index.html", "logo.png"): "ok", ("index.html", "nl/"): "ok", ("nl/index.html", "../index.html"): "ok", ("nl/index.html", "../logo.png"): "ok", ("nl/index.html", "../../outside.html"): "escaped", ("nl/index.html", "missing.png"): "missing", ("nl/index.html", "/root"): "escaped", ("nl/index.html", ".."): "ok"}
+    assert got == {("index.html", "look/main.css"): "ok", ("index.html", "mark.png"): "ok", ("index.html", "de/"): "ok", ("de/index.html", "../index.html"): "ok", ("de/index.html", "../mark.png"): "ok", ("de/index.html", "../../away.html"): "escaped", ("de/index.html", "gone.png"): "missing", ("de/index.html", "/root"): "escaped", ("de/index.html", ".."): "ok"}
     rows = spark.createDataFrame([("u1", "p"), ("u2", "p"), ("u3", "q")], "canonical_url string, path string")
     assert closure.duplicate_paths(rows).collect()[0].asDict() == {"path": "p", "urls": ["u1", "u2"]}
     r = closure.report(df, rows).first()
