@@ -24,6 +24,8 @@ ASSET_ATTRIBUTES = (
     ("img", "data-src"), ("img", "data-lazy-src"), ("source", "data-src"), ("source", "data-lazy-src"), ("video", "poster"),
     ("iframe", "src"), ("embed", "src"), ("object", "data"), ("track", "src"), ("input", "src"),
 )
+# Element and attribute pairs of a rendered document that name resources.
+DOM_RESOURCES = (("link", "href"), ("script", "src"), ("img", "src"), ("source", "src"), ("video", "src"), ("audio", "src"))
 # Attributes whose quoted value is a link, and those that hold several candidates.
 LINK_ATTRIBUTES = ("href", "src", "action", "poster", "data-src", "data-lazy-src")
 SRCSET_ATTRIBUTES = ("srcset", "data-srcset")

@@ -79,6 +79,16 @@ def url_to_path_with(root: Column, u: Column, site_host: Column, site_port: Colu
     return F.concat_ws("/", F.rtrim(root, F.lit("/")), F.array_join(parts, "/"))
 
 
+def url_to_path_of_type(root: Column, u: Column, site_host: Column, site_port: Column, rtype: Column) -> Column:
+    """The file below root of a resource whose type is known."""
+    return url_to_path_with(root, u, site_host, site_port, urls.kind_of_type(rtype))
+
+
+def expected_offline_path(u: Column, site_host: Column, site_port: Column) -> Column:
+    """Where a link's target should be stored, its kind inferred."""
+    return url_to_offline_path_with(u, site_host, site_port, urls.infer_url_kind(u))
+
+
 def split_fragment(ref: Column) -> Column:
     """struct(path, fragment), the fragment with its sign, null where there is none."""
     at = F.instr(ref, "#")

@@ -174,9 +174,20 @@ def classify(content_type: Column, u: Column) -> Column:
     )
 
 
+def kind_of_type(rtype: Column) -> Column:
+    """page for pages, asset for all other resource types."""
+    return F.when(rtype == "page", "page").otherwise("asset")
+
+
+def start_problem(url: Column) -> Column:
+    """Why a text can't be the start of a crawl, null where it can."""
+    scheme = F.lower(F.regexp_extract(F.trim(url), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    return F.when(url.isNull() | (scheme == ""), "no URL").when(~scheme.isin("http", "https"), "neither http nor https").when(parse_web_url(url).isNull(), "no host")
+
+
 def normalize_discovered(u: Column) -> Column:
     """Canonical text of a link found on a page; its type by extension decides how."""
-    return normalize_url(u, F.when(resource_type(u) == "page", "page").otherwise("asset"))
+    return normalize_url(u, kind_of_type(resource_type(u)))
 
 
 def is_rsc_request(u: Column) -> Column:

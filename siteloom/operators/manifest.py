@@ -54,6 +54,11 @@ def visited(old: DataFrame, new: DataFrame, *others: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def entry_of(manifest: DataFrame, canonical_url: str) -> DataFrame:
+    """The entry of one URL, with its rtype and outlinks; no row where it is unknown."""
+    return manifest.where(F.col("canonical_url") == canonical_url)
+
+
 def with_freshness(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Adds file_exists and local_fresh from files(path, bytes): fresh is a stored file whose hash is the recorded one."""
     return with_hashes(manifest, files.select("path", hash_bytes(F.col("bytes")).alias("hash")))

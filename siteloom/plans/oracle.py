@@ -174,5 +174,10 @@ SELECT page_id, '<img src="' || up || 'zz/i.png" srcset="' || up || 'zz/a.png 1x
   'url("' || up || 'zz/x.css"); b{{background:url("' || up || 'zz/bg.png")}} i{{src:url(data:y)}} u{{src:url(https://elsewhere.example/p)}}' AS new_css FROM x""",
     "captures_kept": f"""WITH {PAGES}, a(seq, url, resource_type) AS (VALUES (0, '/a.js', 'Script'), (4, '/p/q', 'Document'), (5, '//cdn.example.net/f.woff2', 'Font'), (8, ':81/a.css', 'Stylesheet'))
 SELECT page_id, CASE WHEN starts_with(a.url, '//') THEN scheme || ':' || a.url ELSE scheme || '://' || host || a.url END AS url, CAST(seq AS BIGINT) AS seq, resource_type FROM pg, a""",
+    "rendered_links": f"""WITH {LINKS}, a(seq, rest) AS (VALUES (0, '/own#f'), (2, '/f.pdf'))
+SELECT page_id, CAST(CASE WHEN seq = 2 THEN 2 ELSE seq END AS BIGINT) AS seq, scheme || '://' || host || rest AS url FROM pg, a
+UNION ALL SELECT page_id, CAST(pos + 3 AS BIGINT), {_RESOLVED} FROM lk WHERE NOT ({_DYN})""",
+    "rendered_resources": "SELECT page_id, url, rtype AS resource_type FROM pages p, (VALUES ('https://cdn.example.net/a.js', 'Script'), ('https://cdn.example.net/zz/i.png', 'Other')) a(url, rtype)".replace("url,", "a.url,", 1),
+    "start_problems": "SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'neither http nor https' WHEN 2 THEN 'no URL' WHEN 3 THEN 'no host' END AS problem FROM pages",
     "decoded_bodies": """SELECT page_id, ['中文', '<meta charset="gbk">中文', 'é', '中', '\ufffdA'][page_id % 5 + 1] AS text FROM pages""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import content, html, paths, rewrite, robots, urls
-from ..operators import assets, closure, manifest, report
+from ..operators import assets, closure, manifest, rendered, report
 from ..streaming import captures
 
 PAGE_KIND = "page"
@@ -307,6 +307,37 @@ def captures_kept(spark, sf_dir):
     return x.select(F.col("page_url").cast("long").alias("page_id"), "url", F.col("seq").cast("long").alias("seq"), "resource_type")
 
 
+RENDERED_HEAD = (
+    '<base href="https://cdn.example.net/zz/"><a href="/own#f">o</a><a href="https://elsewhere.example/x">x</a><area href="/api/x"><a href="/f.pdf">f</a>'
+    '<img src="i.png#p"><script src="i.png"></script><link href="https://elsewhere.example/page"><audio src="/a.js"></audio>'
+)
+
+
+def _rendered(spark, sf_dir) -> DataFrame:
+    u = F.col("u")
+    return pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("page_url"), u, F.concat(F.lit(RENDERED_HEAD), F.col("html")).alias("html"), u["host"].alias("site_host"), u["port"].alias("site_port"))
+
+
+def rendered_links(spark, sf_dir):
+    x = rendered.links(_rendered(spark, sf_dir))
+    return x.select(F.col("page_url").cast("long").alias("page_id"), F.col("seq").cast("long").alias("seq"), "url")
+
+
+def rendered_resources(spark, sf_dir):
+    """Captured scripts of each page and what only its document names."""
+    p = _rendered(spark, sf_dir)
+    asked = p.select("page_url", F.lit(0).alias("seq"), F.lit("https://cdn.example.net/a.js").alias("url"), F.lit("Script").alias("resource_type"))
+    x = rendered.with_dom_resources(asked, rendered.dom_resources(p))
+    return x.select(F.col("page_url").cast("long").alias("page_id"), "url", "resource_type")
+
+
+def start_problems(spark, sf_dir):
+    """Each page's URL, whole and spoiled in several ways, as the start of a crawl."""
+    u, k = F.col("url"), F.col("page_id") % 4
+    text = F.when(k == 0, u).when(k == 1, F.regexp_replace(u, "^https?", "ftp")).when(k == 2, F.regexp_replace(u, "^https?://", "")).otherwise("http://")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.start_problem(text).alias("problem"))
+
+
 def decoded_bodies(spark, sf_dir):
     """Bodies in several charsets, by header, by mark in the text, and by neither."""
     cases = (("", "text/html; charset=gbk", "d6d0cec4"), ('<meta charset="gbk">', "text/html", "d6d0cec4"), ("", "text/html; charset=iso-8859-1", "e9"), ("", None, "e4b8ad"), ("", "text/css", "ff41"))
@@ -321,6 +352,6 @@ QUERIES = {
     for f in (
         url_components, canonical_url, canonical_groups, tracking_params, offline_path, path_collisions, page_links, link_kinds, kind_counts, outlinks, link_degrees, frontier_new, frontier_limited, relative_links,
         rewritten_attrs, stripped_html, scripts_stripped, spa_signals, visible_text_len, css_refs, local_refs, closure_missing, closure_escaped, manifest_rows, incremental_actions, manifest_upsert, robots_allowed,
-        crawl_summary, archive_listing, charset_sniff, formatted_sizes, bfs_depths, bfs_deep, page_assets, asset_fan_out, rewritten_assets, captures_kept, decoded_bodies,
+        crawl_summary, archive_listing, charset_sniff, formatted_sizes, bfs_depths, bfs_deep, page_assets, asset_fan_out, rewritten_assets, captures_kept, decoded_bodies, rendered_links, rendered_resources, start_problems,
     )
 }

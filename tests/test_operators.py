@@ -5,8 +5,8 @@ from io import BytesIO
 import pytest
 from pyspark.sql import functions as F
 
-from siteloom.functions import urls
-from siteloom.operators import assets, closure, manifest, report
+from siteloom.functions import paths, urls
+from siteloom.operators import assets, closure, manifest, rendered, report
 from siteloom.operators.crawl import crawl
 from siteloom.plans import pages
 from siteloom.sources import corpus, manifest_json
@@ -200,3 +200,30 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session)
+
+
+def test_render_crawl_obeys_robots_and_reuses(spark):
+    page = lambda *refs: "".join(f'<a href="{r}">x</a>' for r in refs)
+    rows = [("https://h/", page("/a", "/b.pdf", "/private/x")), ("https://h/a", page("c")), ("https://h/c", ""), ("https://h/old", page("/never"))]
+    df = urls.with_url(spark.createDataFrame([(u, h, "h", None) for u, h in rows], "page_url string, html string, site_host string, site_port int"), "page_url", "u")
+    seeds = spark.createDataFrame([("https://h/", "https://h/", "h")], "canonical_url string, url string, site string")
+    got = {r.canonical_url: r.depth for r in rendered.render_crawl(df, seeds).collect()}
+    assert got == {"https://h/": 0, "https://h/a": 1, "https://h/private/x": 1, "https://h/c": 2}
+    rules = spark.createDataFrame([("h", "User-agent: *\nDisallow: /private")], "site string, body string")
+    kept = spark.createDataFrame([("https://h/a", ["https://h/old"])], "canonical_url string, outlinks array<string>")
+    got = {r.canonical_url: r.depth for r in rendered.render_crawl(df, seeds, rules, kept).collect()}
+    assert got == {"https://h/": 0, "https://h/a": 1, "https://h/old": 2, "https://h/never": 3}
+    none = spark.createDataFrame([("h", "User-agent: *\nDisallow: /")], "site string, body string")
+    assert rendered.render_crawl(df, seeds, none).count() == 0
+
+
+def test_types_and_starts(spark):
+    rows = [("https://h/a.css?v=1", "css"), ("https://h/p?b=1&a=2", "page")]
+    df = urls.with_url(spark.createDataFrame(rows, "url string, rtype string"), "url", "u")
+    got = df.select(paths.url_to_path_of_type(F.lit("/out"), F.col("u"), F.lit("h"), F.lit(None).cast("int"), F.col("rtype")).alias("p"), paths.expected_offline_path(F.col("u"), F.lit("h"), F.lit(None).cast("int")).alias("e")).collect()
+    assert [(r.p, r.e) for r in got] == [("/out/a@v=1.css", "a@v=1.css"), ("/out/p@b=1&a=2/index.html", "p@b=1&a=2/index.html")]
+    texts = ["https://h/x", " HTTP://h", "mailto:a@b", "h/x", "https://", None, "https://h:x/"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(urls.start_problem(F.col("t"))).collect()
+    assert [r[0] for r in got] == [None, None, "neither http nor https", "no URL", "no host", "no URL", "no host"]
+    one = manifest.entries(spark.createDataFrame([entry("u1", "a", "x"), entry("u2", "b", "y")], BYTES))
+    assert manifest.entry_of(one, "u2").first().outlinks == ["a", "a"] and manifest.entry_of(one, "u3").count() == 0
