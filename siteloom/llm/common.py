@@ -96,9 +96,9 @@ def sweep(spark: SparkSession, *keep: DataFrame, since: frozenset[str] = frozens
 
 @atexit.register
 def _sweep_at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _made:
-        with contextlib.suppress(Exception):  # the session may be gone
+    with contextlib.suppress(Exception):  # the session may be gone
+        spark = SparkSession.getActiveSession() if _made else None
+        if spark is not None:
             sweep(spark)
 
 
