@@ -178,6 +178,7 @@ SELECT page_id, CASE WHEN starts_with(a.url, '//') THEN scheme || ':' || a.url E
 SELECT page_id, CAST(CASE WHEN seq = 2 THEN 2 ELSE seq END AS BIGINT) AS seq, scheme || '://' || host || rest AS url FROM pg, a
 UNION ALL SELECT page_id, CAST(pos + 3 AS BIGINT), {_RESOLVED} FROM lk WHERE NOT ({_DYN})""",
     "rendered_resources": "SELECT page_id, url, rtype AS resource_type FROM pages p, (VALUES ('https://cdn.example.net/a.js', 'Script'), ('https://cdn.example.net/zz/i.png', 'Other')) a(url, rtype)".replace("url,", "a.url,", 1),
+    "sql_functions": f"WITH {PAGES} SELECT page_id, canonical_url, opath AS path, CAST(NULL AS VARCHAR) AS problem, 'sha256:' || sha256(html) AS hash, CASE WHEN strlen(html) < 1024 THEN strlen(html) || ' B' ELSE printf('%.1f KB', strlen(html) / 1024) END AS size_text FROM canon",
     "start_problems": "SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'neither http nor https' WHEN 2 THEN 'no URL' WHEN 3 THEN 'no host' END AS problem FROM pages",
     "decoded_bodies": """SELECT page_id, ['中文', '<meta charset="gbk">中文', 'é', '中', '\ufffdA'][page_id % 5 + 1] AS text FROM pages""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import content, html, paths, rewrite, robots, urls
+from ..functions import content, html, paths, rewrite, robots, sql, urls
 from ..operators import assets, closure, manifest, rendered, report
 from ..streaming import captures
 
@@ -331,6 +331,13 @@ def rendered_resources(spark, sf_dir):
     return x.select(F.col("page_url").cast("long").alias("page_id"), "url", "resource_type")
 
 
+def sql_functions(spark, sf_dir):
+    """The functions under their SQL names."""
+    sql.register(spark)
+    x = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return x.selectExpr("page_id", "site_canonical_url(url, 'page') as canonical_url", "site_offline_path(url) as path", "site_start_problem(url) as problem", "site_content_hash(cast(html as binary)) as hash", "site_format_bytes(octet_length(html)) as size_text")
+
+
 def start_problems(spark, sf_dir):
     """Each page's URL, whole and spoiled in several ways, as the start of a crawl."""
     u, k = F.col("url"), F.col("page_id") % 4
@@ -352,6 +359,6 @@ QUERIES = {
     for f in (
         url_components, canonical_url, canonical_groups, tracking_params, offline_path, path_collisions, page_links, link_kinds, kind_counts, outlinks, link_degrees, frontier_new, frontier_limited, relative_links,
         rewritten_attrs, stripped_html, scripts_stripped, spa_signals, visible_text_len, css_refs, local_refs, closure_missing, closure_escaped, manifest_rows, incremental_actions, manifest_upsert, robots_allowed,
-        crawl_summary, archive_listing, charset_sniff, formatted_sizes, bfs_depths, bfs_deep, page_assets, asset_fan_out, rewritten_assets, captures_kept, decoded_bodies, rendered_links, rendered_resources, start_problems,
+        crawl_summary, archive_listing, charset_sniff, formatted_sizes, bfs_depths, bfs_deep, page_assets, asset_fan_out, rewritten_assets, captures_kept, decoded_bodies, rendered_links, rendered_resources, start_problems, sql_functions,
     )
 }

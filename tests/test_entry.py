@@ -33,7 +33,7 @@ def same(rows):
     return sorted(repr(tuple(rows_)) for rows_ in rows)
 
 
-@pytest.mark.parametrize("name", ["url_components", "canonical_url", "tracking_params", "offline_path", "page_links", "link_kinds", "frontier_new", "local_refs", "spa_signals", "archive_listing", "incremental_actions", "manifest_upsert", "manifest_rows", "rewritten_attrs", "rewritten_assets", "page_assets", "asset_fan_out", "captures_kept", "decoded_bodies", "closure_missing", "rendered_links", "rendered_resources", "start_problems"])
+@pytest.mark.parametrize("name", ["url_components", "canonical_url", "tracking_params", "offline_path", "page_links", "link_kinds", "frontier_new", "local_refs", "spa_signals", "archive_listing", "incremental_actions", "manifest_upsert", "manifest_rows", "rewritten_attrs", "rewritten_assets", "page_assets", "asset_fan_out", "captures_kept", "decoded_bodies", "closure_missing", "rendered_links", "rendered_resources", "start_problems", "sql_functions"])
 def test_query_equals_its_sql(spark, name):
     df = __spark_entry__.queries()[name](spark, DATA)
     con = duckdb.connect()

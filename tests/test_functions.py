@@ -209,3 +209,18 @@ def test_css_rewriting_and_scripts(spark):
     assert got == ['a{b:url("../pics/paper.png")} url("../x.css"); @import "y.css"; url(data:1) url(https://o.com/page)', 'url("../_external/fonts.gstatic.com/l/inter.woff2")']
     h = '<script>a</script><script type="application/ld+json">{}</script>b<SCRIPT x>c</SCRIPT>'
     assert values(spark, [(h,)], "h string", rewrite.strip_scripts(F.col("h")))[0][0] == '<script type="application/ld+json">{}</script>b'
+
+
+def test_sql_names_give_what_the_columns_give(spark):
+    from siteloom.functions import sql
+
+    assert len(sql.register(spark)) == len(sql.FUNCTIONS)
+    samples = {"url": ["HTTP://A.b:81/c/../d.CSS?y=2&x=1&utm_q=1#f", "https://h/api/x?q='a'", "nothing"], "page": ["https://h/a/b"], "ref": ["../c?d", "#x"], "kind": ["page", "asset"], "param": ["utm_x", "q"], "page_path": ["a/b.html"], "target": ["c/d.png"], "css": ["a{b:url( 'x.png' )} @import \"y.css\";"], "html": ["<a href='q'>a</a>"], "path": ["/x/y", "/z"], "body": ["User-agent: *\nDisallow: /x"], "n": [5, 5000]}
+    for name, (arguments, _, function) in sql.FUNCTIONS.items():
+        columns = [a.split() for a in arguments.split(", ")]
+        rows = [()]
+        for c, _ in columns:
+            rows = [(*r, v) for r in rows for v in samples[c]]
+        df = spark.createDataFrame([tuple(bytearray(v.encode()) if k == "BINARY" else v for v, (_, k) in zip(r, columns)) for r in rows], ", ".join(f"{c} {k}" for c, k in columns))
+        got = df.select(F.expr(f"site_{name}({', '.join(c for c, _ in columns)})").alias("a"), function(*(F.col(c) for c, _ in columns)).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got] and any(r.a is not None for r in got), name
