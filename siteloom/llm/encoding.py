@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 VOCABULARY = "byte_bpe_50k.json"
 #: Parts remembered by a worker; about 30 bytes each, and as much again while they are looked up.
 REMEMBERED = 600_000
+#: Bytes of text to encode at a time: the memory is indexed anew for each slice.
+SLICE = 8 << 20
 #: Longest part that is remembered, in bytes.
 LONGEST = 64
 #: Parts that are one piece of letters: ASCII ones and U+00C0 to U+024F but for the two signs among them, in UTF-8.

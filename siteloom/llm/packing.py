@@ -38,7 +38,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def _pieces(path: str, end: int, capacity: int):
     def run(batches):
         encoder = encoding.encoder(path)
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, encoding.SLICE):
             ids, lens = encoder.encode_all(common.texts(batch), end)
             raw, docs, rows, at = memoryview(ids.view(np.uint8)), batch.column("doc_id").to_pylist(), [], 0
             for doc, n in zip(docs, lens.tolist()):

@@ -405,7 +405,7 @@ def _shards(path: str, end: int, block: int, chunk: int):
             one = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*one, pa.array([encoded(ids, block)], pa.binary())], ["part", "chunk", "n_tokens", "doc_ids", "lengths", "payload"])
 
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, encoding.SLICE):
             got, n = encoder.encode_all(common.texts(batch), end)
             docs += batch.column("doc_id").to_pylist()
             lens += n.tolist()
