@@ -3,6 +3,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import types as T
@@ -134,6 +135,38 @@ def test_simhash_stage_finds_near_copies(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_simhash_stage_loses_no_link(spark):
+    """Short near copies, whose fingerprints are far apart, and chains in which each text is like the next ones only."""
+    rng = random.Random(4)
+    texts = []
+    for k in range(150):
+        ws = [f"k{k}w{i}" for i in range(rng.randrange(12, 30))]
+        texts += [" ".join(ws), " ".join(ws + [f"k{k}x{i}" for i in range((len(ws) - 4) // 4)])]
+    for k in range(3):
+        ws = [f"chain{k}w{i}" for i in range(240)]
+        texts += [" ".join(ws[i : i + 40]) for i in range(0, 200, 4)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    roots = slow_near(rows)
+    want = [min(d for (d, _), x in zip(rows, roots) if x == r) for r in set(roots)]
+    assert len(want) == 153
+    got = [r.doc_id for r in simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_bounds_of_the_exact_join_hold():
+    rng = np.random.default_rng(5)
+    order = np.sort(rng.integers(0, 1 << 63, 40, np.uint64)), rng.integers(3, 9, 40)
+    for n in (1, 2, 4, 5, 9, 10, 44, 45, 300):
+        x = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, np.uint64), order[0][: n // 3]]))
+        for _ in range(20):
+            y = np.unique(np.concatenate([rng.permutation(x)[: len(x) - rng.integers(0, len(x) // 5 + 1)], rng.integers(0, 1 << 63, rng.integers(0, n // 8 + 1), np.uint64)]))
+            both, bits = len(np.intersect1d(x, y)), simhash.sketch(x) ^ simhash.sketch(y)
+            assert sum((int(b) & (1 << 64) - 1).bit_count() for b in bits) <= len(x) + len(y) - 2 * both
+            if both >= 0.8 * (len(x) + len(y) - both):
+                assert np.intersect1d(simhash.prefix(x, 0.8, order), simhash.prefix(y, 0.8, order)).size
+
+
 def test_simhash_stage_loses_no_row_without_an_id_or_with_anothers(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
     rows = [(None, a), (None, b), (None, c), (5, a + " tail"), (5, " ".join(f"d{i}" for i in range(80))), (6, b), (None, "alone"), (None, "alone")]
