@@ -5,7 +5,7 @@ two pieces: white space after a character that is none, an ASCII character that
 follows a lone line end. All texts of a batch are cut at those places at once, Arrow looks the parts up in a memory of known ones,
 and the library encodes each part that is new. Not every such place is cut: wherever libraries may differ on a character, the part
 just stays longer. A text that holds one of the tokenizer's added tokens goes to the library whole. The memory of parts is
-bounded: when it is full, it starts again from the new parts at hand.
+bounded: when it is full, what was met once goes, and of the rest at most half as many parts as fit stay, those met most often.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 VOCABULARY = "byte_bpe_50k.json"
 #: Parts remembered by a worker; about 30 bytes each, and as much again while they are looked up.
 REMEMBERED = 600_000
+#: Those looked up first, in a table small enough to stay in the cache: the earliest ones, which hold the commonest.
+FIRST = 1 << 16
 #: Bytes of text to encode at a time: the memory is indexed anew for each slice.
 SLICE = 8 << 20
 #: Longest part that is remembered, in bytes.
@@ -61,6 +63,18 @@ def _cuts(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ascii_words(parts: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Which parts are a space, if any, and ASCII letters, and those as the vocabulary writes them."""
+    edges = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1]
+    raw = np.frombuffer(parts.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+    begin, lens = edges[:-1] - edges[0], np.diff(edges)
+    other = _CLASS[raw] != _LETTER
+    other[begin[raw[begin] == 32]] = False
+    plain = (np.add.reduceat(other, begin, dtype=np.int64) == 0) & ((lens > 1) | (raw[begin] != 32))
+    text = pc.binary_join(pa.ListArray.from_arrays([0, int(plain.sum())], parts.filter(pa.array(plain))), b"\n")[0].as_py()
+    return plain, text.replace(b" ", _VISIBLE[32].encode()).decode().split("\n") if text else []
+
+
 class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,39 +83,58 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = remembered
-        self._forget()
-
-    def _forget(self) -> None:
-        self.parts, self.ids, self.ends = pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.parts, self.ids, self.ends, self.met = pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self, room: int) -> None:
+        """Keeps the parts met most often, beside which there is so much room."""
+        keep = np.flatnonzero(self.met > 1)
+        most = max(0, min(self.most // 2, self.most - room))
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[:most]])
+        size, begin = np.diff(self.ends)[keep], self.ends[keep]
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.repeat(begin - ends + size, size) + np.arange(size.sum())]
+        self.parts, self.ends, self.met = self.parts.take(pa.array(keep)), np.r_[0, ends], self.met[keep] // 2
 
     def _whole(self, part: bytes) -> list[int]:
         return self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
 
-    def _new(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _new(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts that are not remembered, in a row, and how many each has."""
         word, tokenize, ids, ends = _WORD.fullmatch, self.tokenizer.model.tokenize, [], [0]
-        plain = [word(part) is not None for part in parts]
-        shown = iter(b"\n".join(p for p, w in zip(parts, plain) if w).decode("latin-1").translate(_VISIBLE).split(_VISIBLE[10]))
-        for part, w in zip(parts, plain):
-            ids += [t.id for t in tokenize(next(shown))] if w else self._whole(part)
+        plain, shown = _ascii_words(parts)
+        shown = iter(shown)
+        others = iter(parts.filter(pa.array(~plain)).to_pylist())
+        for is_plain in plain.tolist():
+            if is_plain:
+                ids += [t.id for t in tokenize(next(shown))]
+            else:
+                part = next(others)
+                ids += [t.id for t in tokenize(part.decode("latin-1").translate(_VISIBLE))] if word(part) else self._whole(part)
             ends.append(len(ids))
         return np.array(ids, np.uint32), np.diff(ends)
 
     def _codes(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each part its place in a store: places, the store's ids, and where each place's ids end (from a 0 on)."""
-        found = pc.index_in(parts, value_set=self.parts)
         ids, ends = self.ids, self.ends
-        code = found.fill_null(-1).to_numpy().astype(np.int64)
+        code = pc.index_in(parts, value_set=self.parts[:FIRST]).fill_null(-1).to_numpy().astype(np.int64)
         lost = np.flatnonzero(code < 0)
+        if len(lost) and len(self.parts) > FIRST:
+            more = pc.index_in(parts.take(pa.array(lost)), value_set=self.parts[FIRST:]).fill_null(-1).to_numpy()
+            code[lost] = np.where(more < 0, -1, more + FIRST)
+            lost = lost[more < 0]
+        self.met += np.bincount(code + 1, minlength=len(self.parts) + 1)[1:]
         if len(lost):
             new = parts.take(pa.array(lost)).dictionary_encode()
-            more, size = self._new(new.dictionary.to_pylist())
-            code[lost] = len(self.parts) + new.indices.to_numpy()
+            more, size = self._new(new.dictionary)
+            again = new.indices.to_numpy()
+            code[lost] = len(self.parts) + again
             ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + np.cumsum(size)])
             short = pc.binary_length(new.dictionary).to_numpy() <= LONGEST
             if len(self.parts) + short.sum() > self.most:
-                self._forget()
+                self._forget(int(short.sum()))
             if short.sum() <= self.most:
+                self.met = np.append(self.met, np.bincount(again, minlength=len(short))[short])
                 self.parts = pa.concat_arrays([self.parts, new.dictionary.filter(pa.array(short))])
                 self.ids = np.concatenate([self.ids, more[np.repeat(short, size)]])
                 self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size[short])])

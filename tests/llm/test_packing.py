@@ -125,3 +125,17 @@ def test_sum_of_squares_takes_the_best_place():
             assert o == 20 - gaps[b]
             gaps[b] -= n
         assert made == len(gaps)
+
+
+def test_encoder_keeps_the_parts_met_most_often():
+    coder = encoding.Encoder(encoding.vocabulary(), remembered=100)
+    plain = coder.tokenizer
+    often = [f" often{'abcdefghij'[i]}" for i in range(10)]
+    asked, new = [], coder._new
+    coder._new = lambda parts: asked.extend(parts.to_pylist() if hasattr(parts, "to_pylist") else parts) or new(parts)
+    for k in range(30):
+        text = "".join(often * 3 + [f" once{chr(97 + k % 26) * (k // 26 + 1)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]) + f"\n\u00c8t\u00e9 {k}"
+        ids, n = coder.encode_all([text.encode()], 0)
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0] and n.tolist() == [len(ids)]
+        assert len(coder.parts) <= 100 and len(coder.met) == len(coder.parts) == len(coder.ends) - 1
+    assert all(asked.count(p.encode()) == 1 for p in often)
