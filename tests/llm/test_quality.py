@@ -103,3 +103,22 @@ def test_verdict_is_rederived_from_the_model(spark):
         z = sum(mean(s, w) for s, w in zip((ones, twos, fours), model.weights))
         p = 1 / (1 + np.exp(-(model.slope * (z + model.bias) + model.shift)))
         assert abs(p - r.probability) < 1e-4 and (r.kept == (not r.base_failed and r.probability >= quality.THRESHOLD))
+
+
+def test_the_driver_gets_the_weights_and_not_the_features(spark, monkeypatch):
+    """Features of all documents are several times as large; the model is the one that they give in any order."""
+    docs, labels = common.documents(spark, DATA), spark.read.parquet(f"{DATA}/labels.parquet")
+    got, frame = [], type(docs)
+    for name in ("toArrow", "collect"):
+        whole = getattr(frame, name)
+
+        def seen(self, whole=whole):
+            out = whole(self)
+            got.append(out.nbytes if hasattr(out, "nbytes") else 100 * len(out))
+            return out
+
+        monkeypatch.setattr(frame, name, seen)
+    model = quality.train(docs, labels)
+    assert sum(got) <= model.weights.nbytes + 400_000, got
+    again = quality.train(docs.repartition(5), labels)
+    assert np.array_equal(model.weights, again.weights) and (model.bias, model.slope, model.shift) == (again.bias, again.slope, again.shift)
