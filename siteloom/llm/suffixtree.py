@@ -51,6 +51,8 @@ WORD_DEPTH, LEAST, LEAST_NEXT = 2, 50, 10
 COMMON_WORDS, COMMON_KEYS = 1 << 18, 1 << 21
 #: Training tokens for each bucket in which pairs are counted, and tokens for each in which questions are answered.
 PAIRS, QUESTIONS = 1 << 20, 1 << 22
+#: Codes that a task counts before it adds them up.
+HELD = 1 << 19
 #: Bytes of text in a chunk.
 CHUNK = 4 << 20
 _PAD = bytes([END]) * DEPTH
@@ -118,28 +120,37 @@ def _spelled(batch) -> list[list[bytes]]:
     return [[w] for w in batch.column("text").to_pylist()]
 
 
-def _counted(docs: DataFrame, lists, codes, space: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the codes below space that codes(symbols) gives, summed over what lists(batch) takes from a table's batches."""
+def _summed_codes(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of (codes, counts), ascending, and their counts."""
+    code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return code, np.bincount(at, np.concatenate([n for _, n in parts]), len(code)).astype(np.int64)
+
+
+def _counted(docs: DataFrame, lists, codes) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the codes that codes(symbols) gives, summed over what lists(batch) takes from a table's batches."""
 
     def run(batches):
-        total, held = np.zeros(space, np.uint32), 0
+        parts, held = [], 0
 
         def rows():
-            code = np.flatnonzero(total)
+            code, n = parts[0]
             for a in range(0, len(code), 100_000):
-                part = code[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], ["code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(code[a : a + 100_000].astype(np.int64)), pa.array(n[a : a + 100_000])], ["code", "n"])
 
         for batch in common.slices(batches, 2 << 20):
             split = lists(batch)
             if split:
-                found, times = np.unique(codes(Symbols(split)).astype(np.int32), return_counts=True)
-                total[found] += times.astype(np.uint32)
-                held += int(batch.nbytes)
-                if held > 1 << 30:  # before a count could run over
-                    yield from rows()
-                    total[:], held = 0, 0
-        yield from rows()
+                parts.append(np.unique(codes(Symbols(split)).astype(np.int32), return_counts=True))
+                held += len(parts[-1][0])
+                if held > HELD:
+                    parts[:] = [_summed_codes(parts)]
+                    held = len(parts[0][0])
+                    if held > HELD // 2:
+                        yield from rows()
+                        parts, held = [], 0
+        if parts:
+            parts[:] = [_summed_codes(parts)]
+            yield from rows()
 
     with common.freed_shuffles(docs.sparkSession):
         got = docs.mapInArrow(common.tidied(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
@@ -179,7 +190,7 @@ class Model:
 
 def train(docs: DataFrame, p_min: float = P_MIN, gain: float = GAIN, prior: float = PRIOR, lists=_training) -> Model:
     """Learns from the rows that are not held out (or what lists takes from a batch), in one pass a level."""
-    code, n = _counted(docs, lists, lambda s: s.back(2) << 16 | s.back(1) << 8 | s.next, 1 << 24)
+    code, n = _counted(docs, lists, lambda s: s.back(2) << 16 | s.back(1) << 8 | s.next)
     total = int(n.sum())
     least = max(2.0, p_min * total)
     cand = Candidates(np.sort(code[n >= least]))
@@ -191,7 +202,7 @@ def train(docs: DataFrame, p_min: float = P_MIN, gain: float = GAIN, prior: floa
         base = k3[ok].astype(np.int64) << 8
         return np.r_[base | s.next[ok], size + (base | s.back(4)[ok])]
 
-    code3, n3 = _counted(docs, lists, third, 2 * size) if size else (code[:0], n[:0])
+    code3, n3 = _counted(docs, lists, third) if size else (code[:0], n[:0])
     before = code3 >= size
     cand = Candidates(cand.three, np.sort(code3[before][n3[before] >= least] - size))
 
@@ -200,7 +211,7 @@ def train(docs: DataFrame, p_min: float = P_MIN, gain: float = GAIN, prior: floa
         ok = k4 >= 0
         return k4[ok] << 8 | s.next[ok]
 
-    code4, n4 = _counted(docs, lists, fourth, len(cand.four) << 8) if len(cand.four) else (code[:0], n[:0])
+    code4, n4 = _counted(docs, lists, fourth) if len(cand.four) else (code[:0], n[:0])
     dense = lambda c, m, rows: np.bincount(c, m, rows << 8).reshape(rows, 256)
     by_two_codes = np.unique(code >> 8)
     two_totals = np.bincount(np.searchsorted(by_two_codes, code >> 8), n, len(by_two_codes))

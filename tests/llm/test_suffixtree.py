@@ -174,3 +174,31 @@ def test_bounds_hold_at_most_so_many(spark):
         bound = suffixtree._bound(counts, most)
         assert sum(n >= bound for n, in rows) <= most
     assert suffixtree._bound(counts, 500) == min(n for n, in rows)
+
+
+def test_counting_codes_holds_no_table_of_all_codes(spark):
+    """A pass over a few words takes memory for the codes that it met; counts over several batches add up."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Table:
+        sparkSession = spark
+
+        def mapInArrow(self, run, kinds):
+            batch = pa.RecordBatch.from_arrays([pa.array([b"abc", b"abd"], pa.binary())], ["text"])
+            tracemalloc.start()
+            self.rows = list(run(iter([batch] * 3)))
+            self.peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            raise InterruptedError
+
+    table = Table()
+    try:
+        suffixtree.train(table, lists=suffixtree._spelled)
+    except InterruptedError:
+        pass
+    got = {c: n for b in table.rows for c, n in zip(b.column("code").to_pylist(), b.column("n").to_pylist())}
+    end = suffixtree.END
+    assert got == {end << 16 | end << 8 | 97: 6, end << 16 | 97 << 8 | 98: 6, 97 << 16 | 98 << 8 | 99: 3, 97 << 16 | 98 << 8 | 100: 3, 98 << 16 | 99 << 8 | end: 3, 98 << 16 | 100 << 8 | end: 3}
+    assert table.peak < 8 << 20, table.peak
