@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -63,11 +64,51 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     with freed_shuffles(spark):
         df.write.parquet(path)
+    tidy_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # for drop()
     return out
 
 
+#: Share of the driver's heap that its JVM may have taken before stored() collects its garbage.
+HEAP_SHARE = 0.5
+
+_settled = 0  # bytes that the heap still had after the last collection
+
+
+def tidy_driver(spark: SparkSession) -> None:
+    """Gives memory of the driver's JVM back: steps by the hundred leave plans and events of tasks, and the heap grows rather than collects them.
+
+    Only if the heap has grown since the last time, so that one full of live objects isn't collected again and again.
+    """
+    global _settled
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() <= max(HEAP_SHARE * runtime.maxMemory(), _settled):
+        return
+    gc.collect()  # Python's references hold objects of the JVM
+    runtime.gc()
+    _trim(spark)
+    _settled = runtime.totalMemory()
+
+
+def _trim(spark: SparkSession) -> None:
+    """What malloc keeps for the JVM goes back too, where the JVM can do that (17.0.9 or later, with glibc)."""
+    gateway, java = spark.sparkContext._gateway, spark._jvm.java.lang
+    array = lambda kind, *x: _filled(gateway.new_array(kind, len(x)), x)
+    with contextlib.suppress(Exception):
+        of = java.Class.forName
+        kinds = [of(k) for k in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = of("javax.management.MBeanServer").getMethod("invoke", array(java.Class, *kinds))
+        name = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), array(java.Object, name, "systemTrimNativeHeap", None, None))
+
+
+def _filled(array, values):
+    for k, x in enumerate(values):
+        array[k] = x
+    return array
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
