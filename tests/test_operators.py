@@ -130,6 +130,39 @@ def test_crawl_compacts_what_it_has_seen(spark, monkeypatch):
     assert {r.canonical_url: r.depth for r in crawl(rows, seeds).collect()} == {f"https://h/p{i}": i for i in range(n + 1)}
 
 
+def test_crawl_of_a_deep_site_takes_no_job_a_round(spark, tmp_path):
+    n = 250
+    spark.range(n).withColumnRenamed("id", "page_id").write.parquet(str(tmp_path / "pages.parquet"))
+    group = "deep-site"
+    spark.sparkContext.setJobGroup(group, group)
+    got = {int(r.canonical_url.rsplit("/p", 1)[1]): r.depth for r in pages.bfs_deep(spark, str(tmp_path)).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want, level, depth = {0: 0}, [0], 0
+    while level:
+        depth, level = depth + 1, sorted({x for i in level for x in ((2 * i + 1) % n, (3 * i + 2) % n)} - set(want))
+        want |= dict.fromkeys(level, depth)
+    assert got == want and max(want.values()) == 99
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 60
+
+
+def test_crawl_walks_as_it_goes_by_rounds(spark, monkeypatch):
+    import random
+
+    from siteloom.operators import crawl as module
+
+    rng, n = random.Random(5), 60
+    name = lambda i: f"https://{('h', 'www.h', 'o')[i % 3]}/{('d', 'p')[i % 7 > 0]}{i}"
+    rows = spark.createDataFrame([(name(i), [name(rng.randrange(n)) + rng.choice(("", "?ref=1")) for _ in range(rng.randrange(3, 8))]) for i in range(n) if i % 11], "canonical_url string, links array<string>")
+    seeds = spark.createDataFrame([(name(i), name(i), s) for i, s in ((1, "www.h"), (3, "h"), (5, "o"), (12, "www.h"))], "canonical_url string, url string, site string")
+    rules = spark.createDataFrame([("h", "User-agent: *\nDisallow: /d")], "site string, body string")
+    every = lambda **x: [sorted(map(tuple, crawl(rows, seeds, *r, **x).collect())) for r in ((), (rules,))] + [crawl(rows, seeds, **x).schema]
+    for limits in ({}, {"max_pages": 20}, {"max_pages": 2}):
+        monkeypatch.setattr(module, "WALKED", 1 << 25)
+        walked = every(**limits)
+        monkeypatch.setattr(module, "WALKED", 0)
+        assert walked == every(**limits) and len(walked[0]) > (2 if limits.get("max_pages") == 2 else 10)
+
+
 def with_u(df):
     return urls.with_url(df, "url", "u")
 
