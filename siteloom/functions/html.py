@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import urls
+from .batches import by_texts
 from .fixed import ASSET_ATTRIBUTES, DYNAMIC_TYPES, LINK_ATTRIBUTES, SPA_MARKERS, SPA_ROOTS, SRCSET_ATTRIBUTES, STATIC_TYPES
 
 _QUOTED = r"\"[^\"]*\"|'[^']*'"
@@ -172,15 +172,12 @@ class _Elements(HTMLParser):
 _TOKENS = T.StructType().add("elements", T.ArrayType(T.StructType().add("tag", "string").add("attrs", T.MapType(T.StringType(), T.StringType())).add("pos", T.IntegerType()))).add("text", "string")
 
 
-@F.pandas_udf(_TOKENS)
-def _tokenized(html: pd.Series) -> pd.DataFrame:
-    rows = []
-    for h in html:
-        p = _Elements()
-        p.feed(h or "")
-        p.close()
-        rows.append((p.found, "".join(p.text).strip()))
-    return pd.DataFrame(rows, columns=["elements", "text"])
+@by_texts(_TOKENS)
+def _tokenized(html):
+    p = _Elements()
+    p.feed(html or "")
+    p.close()
+    return {"elements": [x | {"attrs": list(x["attrs"].items())} for x in p.found], "text": "".join(p.text).strip()}
 
 
 def tokenized(html: Column) -> Column:

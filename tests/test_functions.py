@@ -224,3 +224,22 @@ def test_sql_names_give_what_the_columns_give(spark):
         df = spark.createDataFrame([tuple(bytearray(v.encode()) if k == "BINARY" else v for v, (_, k) in zip(r, columns)) for r in rows], ", ".join(f"{c} {k}" for c, k in columns))
         got = df.select(F.expr(f"site_{name}({', '.join(c for c, _ in columns)})").alias("a"), function(*(F.col(c) for c, _ in columns)).alias("b")).collect()
         assert [r.a for r in got] == [r.b for r in got] and any(r.a is not None for r in got), name
+
+
+def in_pieces(udf, *columns):
+    """What a worker sends back for one Arrow batch, piece by piece."""
+    import pyarrow as pa
+
+    arrays = tuple(map(pa.array, columns))
+    return [x.to_pylist() for x in udf.func(iter([arrays if len(arrays) > 1 else arrays[0]]))]
+
+
+def test_tokenized_pages_leave_a_worker_a_few_at_a_time(spark):
+    from siteloom.functions import batches
+
+    given = [f"<a href='/{i}'>" + "x" * (batches.SLICE // 4) for i in range(40)] + [None, "", "<i a=1>" * (batches.SLICE // 4), "<b c='d'>"]
+    pieces = in_pieces(html._tokenized, given)
+    assert [[e["tag"] for e in p["elements"]] for p in sum(pieces, [])] == [["a"]] * 40 + [[], [], ["i"] * (batches.SLICE // 4), ["b"]]
+    assert max(map(len, pieces)) == 3 and [len(p) for p in pieces if any(len(r["elements"]) > 1 for r in p)] == [1]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(given[:43:7])], "i int, h string").repartition(1).select("i", html.tokenized(F.col("h"))["elements"][0]["attrs"]["href"].alias("a"))
+    assert {r.i: r.a for r in df.collect()} == {i: f"/{7 * i}" if i < 6 else None for i in range(7)}
