@@ -39,7 +39,7 @@ def by_texts(returns: T.DataType) -> Callable[[Callable], Callable[..., Column]]
             for b in batches:
                 columns = b if isinstance(b, tuple) else (b,)
                 for at, n in slices(columns[0]):
-                    yield pa.array([f(*row) for row in zip(*(c.slice(at, n).to_pylist() for c in columns))], arrow_type)
+                    yield pa.array([f(*row) for row in zip(*(c.slice(at, n).to_numpy(zero_copy_only=False) for c in columns))], arrow_type)
 
         return F.arrow_udf(run, returns)
 

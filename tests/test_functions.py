@@ -243,3 +243,12 @@ def test_tokenized_pages_leave_a_worker_a_few_at_a_time(spark):
     assert max(map(len, pieces)) == 3 and [len(p) for p in pieces if any(len(r["elements"]) > 1 for r in p)] == [1]
     df = spark.createDataFrame([(i, h) for i, h in enumerate(given[:43:7])], "i int, h string").repartition(1).select("i", html.tokenized(F.col("h"))["elements"][0]["attrs"]["href"].alias("a"))
     assert {r.i: r.a for r in df.collect()} == {i: f"/{7 * i}" if i < 6 else None for i in range(7)}
+
+
+def test_stripped_pages_leave_a_worker_a_few_at_a_time():
+    from siteloom.functions import batches, markup
+
+    given = ["<script>1</script>" + "x" * (batches.SLICE // 4)] * 20 + [None, "", "<p crossorigin>"]
+    for udf, f in ((markup.strip_scripts, markup.without_scripts), (markup.strip_breakers, markup.stripped)):
+        pieces = in_pieces(udf, given)
+        assert sum(pieces, []) == [None if h is None else f(h) for h in given] and max(map(len, pieces)) < 7
