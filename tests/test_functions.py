@@ -252,3 +252,15 @@ def test_stripped_pages_leave_a_worker_a_few_at_a_time():
     for udf, f in ((markup.strip_scripts, markup.without_scripts), (markup.strip_breakers, markup.stripped)):
         pieces = in_pieces(udf, given)
         assert sum(pieces, []) == [None if h is None else f(h) for h in given] and max(map(len, pieces)) < 7
+
+
+def test_linked_pages_leave_a_worker_a_few_at_a_time():
+    from siteloom.functions import batches, markup
+
+    page = "<a href='a'>" + "x" * (batches.SLICE // 4)
+    given, refs, links = [page] * 20 + [None, page, "<a href='b'>"], [["a"]] * 21 + [None, ["a", "b"]], [["../a"]] * 21 + [None, [None, "../b"]]
+    want = ['<a href="../a">' + page[12:]] * 20 + [None, page, '<a href="../b">']
+    for udf in (markup.linked, markup.finished):
+        pieces = in_pieces(udf, given, refs, links)
+        assert sum(pieces, []) == want and max(map(len, pieces)) < 7
+    assert sum(in_pieces(markup.sheet_linked, ["i{b:url(a)}", None], [["a"], None], [["../a"], None]), []) == ['i{b:url("../a")}', None]
